@@ -65,15 +65,19 @@ def is_public_ipv4(v: Column) -> Column:
     )
 
 
-def is_public_url(url: Column) -> Column:
-    """Can the URL be an indicator: well-known hosts and local addresses cannot."""
-    host = url_host(url)
+def is_public_host(host: Column, address: Column) -> Column:
+    """Can the host be an indicator: well-known hosts and local addresses cannot."""
     quiet = host.isin(K.QUIET_HOSTS) | ends_with_any(host, K.QUIET_SUFFIXES)
     return F.when(host == "", False).when(
-        is_numeric_host(host), F.coalesce(is_public_ipv4(ipv4_value(host)), F.lit(False))
+        is_numeric_host(host), F.coalesce(is_public_ipv4(address), F.lit(False))
     ).otherwise(~quiet)
 
 
+def is_public_url(url: Column) -> Column:
+    host = url_host(url)
+    return is_public_host(host, ipv4_value(host))
+
+
 RTLO = "‮"
 
 

@@ -294,13 +294,12 @@ def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
     stage, match, base = F.col("stage"), F.col("match_content"), F.col("base")
     at = lambda *names: stage.isin([STAGE[x] for x in names])
+    is_url = F.col("row_kind").isin("both", "ioc")
+    host = F.when(is_url, N.url_host(match))
     measured = single.select(
         *[c for c in single.columns if c not in ("before", "found")], tail.alias("assigned"),
         F.when(at("secret", "suspicious", "entropy"), C.entropy(match)).alias("bits"),
-    ).where(
-        F.when(at("entropy"), F.col("bits") > K.ENTROPY_LIMIT)
-        .when(F.col("row_kind").isin("both", "ioc"), N.is_public_url(match))
-        .otherwise(True)
+        host.alias("host"), F.when(N.is_numeric_host(host), N.ipv4_value(host)).alias("address"),
     )
     confidence = (
         F.when(at("secret", "suspicious"), C.pattern_confidence(base, match, F.col("bits"), F.col("assigned")))
@@ -313,7 +312,12 @@ def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .when(at("urlenc"), F.concat("description", F.left(match, F.lit(60)), F.lit("...")))
         .otherwise(F.col("description"))
     )
-    row_kinds = F.when(F.col("row_kind") == "both", F.array(F.lit("finding"), F.lit("ioc"))).otherwise(F.array("row_kind"))
+    row_kinds = (
+        F.when(at("entropy") & (F.col("bits") <= K.ENTROPY_LIMIT), F.array().cast("array<string>"))
+        .when(is_url & ~N.is_public_host(F.col("host"), F.col("address")), F.array().cast("array<string>"))
+        .when(F.col("row_kind") == "both", F.array(F.lit("finding"), F.lit("ioc")))
+        .otherwise(F.array("row_kind"))
+    )
     return measured.select(
         "repo", F.col("path").alias("file"), "ext", "file_context", "is_line", "pos", "marker", "comment",
         "stage", "rule_no", "match_no", "type", description.alias("description"), "match_content",

@@ -1,0 +1,20 @@
+"""A left join that stays balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BUCKETS = 16
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],
+                     buckets: int = BUCKETS) -> DataFrame:
+    """Left join on ``keys``; ``right`` has at most a few rows per key.
+
+    Rows of a hot key are spread over ``buckets`` by a hash of ``spread_by``,
+    and each right row is offered to all of them.  When the optimizer knows the
+    right side to be small it still broadcasts it.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
+    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted.join(offered, [*keys, "_salt"], "left").drop("_salt")
