@@ -85,14 +85,21 @@ def composer_lock(manifests: DataFrame) -> DataFrame:
     )
 
 
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
+
+
 def _lines(manifests: DataFrame, name: str) -> DataFrame:
     return _of(manifests, name).select(
-        "repo", "path", "manifest", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("line_no", "line")
+        "repo", "path", "manifest", F.posexplode(F.split("content", LINE_BREAK)).alias("line_no", "line")
     )
 
 
-BY_FILE = Window.partitionBy("repo", "path").orderBy("line_no")
-BEFORE = BY_FILE.rowsBetween(Window.unboundedPreceding, -1)
+def by_file():
+    return Window.partitionBy("repo", "path").orderBy("line_no")
+
+
+def before():
+    return by_file().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _quoted(line: Column) -> Column:
@@ -105,7 +112,7 @@ def _paired(lines: DataFrame, is_name: Column, package: Column, is_version: Colu
         "repo", "path", "manifest", "line_no",
         F.when(is_name, package).alias("package"), F.when(is_version & ~is_name, _quoted(F.col("line"))).alias("version"),
     )
-    previous = F.lag(F.struct("package", "version")).over(BY_FILE)
+    previous = F.lag(F.struct("package", "version")).over(by_file())
     return (
         short.withColumn("name", previous["package"])
         .where((F.col("version").isNotNull()) & (F.coalesce("name", F.lit("")) != ""))
@@ -173,7 +180,7 @@ def gemfile_lock(manifests: DataFrame) -> DataFrame:
     return (
         _lines(manifests, "Gemfile.lock")
         .withColumn("signal", signal)
-        .withColumn("state", F.last("signal", ignorenulls=True).over(BEFORE))
+        .withColumn("state", F.last("signal", ignorenulls=True).over(before()))
         .where((F.col("state") == "on") & F.col("signal").isNull() & (text != "") & ~F.startswith(text, F.lit("(")))
         .select("repo", "path", "manifest", name.alias("name"), version.alias("version"))
         .where("name <> ''")
@@ -193,10 +200,10 @@ def pyproject_toml(manifests: DataFrame) -> DataFrame:
     bare = F.regexp_replace(text, r'"[^"]*"|\'[^\']*\'', "")
     rows = (
         _lines(manifests, "pyproject.toml").where((text != "") & ~F.startswith(text, F.lit("#")))
-        .withColumn("section", F.last(F.when(is_header, header), ignorenulls=True).over(BY_FILE))
+        .withColumn("section", F.last(F.when(is_header, header), ignorenulls=True).over(by_file()))
         .withColumn("array_event", F.when(is_header, "").when(opens.isNotNull() & ~F.contains(bare, F.lit("]")), opens)
                     .when(F.contains(bare, F.lit("]")), ""))
-        .withColumn("open_key", F.coalesce(F.last("array_event", ignorenulls=True).over(BEFORE), F.lit("")))
+        .withColumn("open_key", F.coalesce(F.last("array_event", ignorenulls=True).over(before()), F.lit("")))
         .withColumn("array_key", F.when(F.col("open_key") != "", F.col("open_key")).otherwise(opens))
         .where(~is_header)
     )
