@@ -372,7 +372,11 @@ def hits(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
         .withColumn("kind_key", kind_key)
         .withColumn("nth", F.row_number().over(first))
         .where(~F.col("once") | (F.col("nth") == 1))
-        .select("row_kind", "repo", "file", "type", "description", "match_content", "confidence", "file_context", *SEQUENCE)
+        .select(
+            "row_kind", "repo", "file",
+            *[F.when(F.col("row_kind") == "finding", F.col(c)).alias(c) for c in ("type", "description")], "match_content",
+            F.when(F.col("row_kind") == "finding", F.col("confidence")).alias("confidence"), "file_context", *SEQUENCE,
+        )
     )
 
 

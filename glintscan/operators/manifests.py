@@ -1,14 +1,12 @@
-"""Dependencies from package manifests: ``files(repo, path, name, content)`` → ``(repo, path, manifest, name, version)``.
+"""Dependencies and scripts from package manifests.
 
-Every format is a branch over the manifest files only.  JSON formats stay
-row-local; line formats keep only the lines that matter before the window by
-file, so no more than a few short lines per package are shuffled.
+``files(repo, path, name, content)`` → one pass over the manifest files.  JSON
+formats become package rows at once; line formats keep only the lines that
+matter, so the one window by file moves a few short lines per package.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintscan import catalogue as K
@@ -16,232 +14,211 @@ from glintscan.functions.text import clean_version
 from glintscan.sqltext import FLAGS, blank_trim
 
 OUT = ["repo", "path", "manifest", "name", "version"]
+ROWS = "array<struct<kind:string,line_no:int,name:string,version:string,line:string>>"
+JSON_FORMATS = ["package.json", "package-lock.json", "Pipfile.lock", "composer.lock"]
+LINE_FORMATS = ["yarn.lock", "requirements.txt", "Cargo.lock", "go.sum", "Gemfile.lock", "pyproject.toml"]
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
 def manifest_files(files: DataFrame) -> DataFrame:
     """Name filter first: the content of other files is never decoded."""
-    return files.where(F.col("name").isin(K.DEPENDENCY_FILES)).select(
+    return files.where(F.col("name").isin(JSON_FORMATS + LINE_FORMATS)).select(
         "repo", "path", F.col("name").alias("manifest"), "content"
     )
 
 
-def _of(manifests: DataFrame, name: str) -> DataFrame:
-    return manifests.where(F.col("manifest") == name)
-
-
-def _text(v: Column) -> Column:
+# --- JSON formats ----------------------------------------------------------
+def _string(v: Column) -> Column:
     """A VARIANT that is a JSON string, as text; otherwise NULL."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _object(doc: Column, key: str) -> Column:
-    return F.try_variant_get(doc, f"$['{key}']", "map<string,variant>")
-
-
-def _explode_object(manifests: DataFrame, key: str) -> DataFrame:
-    doc = F.try_parse_json("content")
-    return manifests.select("repo", "path", "manifest", F.explode(_object(doc, key)).alias("name", "info"))
-
-
-def package_json(manifests: DataFrame) -> DataFrame:
-    version = F.coalesce(clean_version(_text(F.col("info"))), F.lit(""))
-    own = _of(manifests, "package.json")
-    parts = [_explode_object(own, k) for k in ("dependencies", "devDependencies")]
-    return parts[0].unionByName(parts[1]).withColumn("version", version).select(*OUT)
-
-
-def package_lock(manifests: DataFrame) -> DataFrame:
-    doc = F.try_parse_json("content")
-    packages = _object(doc, "packages")
-    chosen = F.when(F.coalesce(F.size(packages), F.lit(0)) > 0, packages).otherwise(_object(doc, "dependencies"))
-    rows = _of(manifests, "package-lock.json").select("repo", "path", "manifest", F.explode(chosen).alias("key", "info"))
-    return (
-        rows.withColumn("name", blank_trim(F.replace("key", F.lit("node_modules/"), F.lit(""))))
-        .where((F.col("name") != "") & F.startswith(F.schema_of_variant("info"), F.lit("OBJECT")))
-        .withColumn("version", F.coalesce(F.try_variant_get("info", "$.version", "string"), F.lit("")))
-        .select(*OUT)
-    )
-
-
-def pipfile_lock(manifests: DataFrame) -> DataFrame:
-    own = _of(manifests, "Pipfile.lock")
-    rows = _explode_object(own, "default").unionByName(_explode_object(own, "develop"))
-    version = F.ltrim(F.coalesce(F.try_variant_get("info", "$.version", "string"), F.lit("")), F.lit("="))
-    return rows.withColumn("version", version).select(*OUT)
+def _field(v: Column, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))
 
 
-def composer_lock(manifests: DataFrame) -> DataFrame:
-    doc = F.try_parse_json("content")
-    item = "array<variant>"
-    own = _of(manifests, "composer.lock")
-    rows = own.select("repo", "path", "manifest", F.explode(F.concat(
-        *[F.coalesce(F.try_variant_get(doc, f"$['{k}']", item), F.array().cast(item)) for k in ("packages", "packages-dev")]
-    )).alias("info"))
-    return (
-        rows.withColumn("name", F.try_variant_get("info", "$.name", "string"))
-        .where(F.coalesce("name", F.lit("")) != "")
-        .withColumn("version", F.ltrim(F.coalesce(F.try_variant_get("info", "$.version", "string"), F.lit("")), F.lit("v")))
-        .select(*OUT)
-    )
-
-
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
-
-
-def _lines(manifests: DataFrame, name: str) -> DataFrame:
-    return _of(manifests, name).select(
-        "repo", "path", "manifest", F.posexplode(F.split("content", LINE_BREAK)).alias("line_no", "line")
-    )
+def _entries(doc: Column, key: str) -> Column:
+    """Members of an object as ``array<struct<key, value>>``; empty when there is none."""
+    return F.map_entries(F.coalesce(
+        F.try_variant_get(doc, f"$['{key}']", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
 
 
-def by_file():
-    return Window.partitionBy("repo", "path").orderBy("line_no")
+def _items(doc: Column, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(doc, f"$['{key}']", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def before():
-    return by_file().rowsBetween(Window.unboundedPreceding, -1)
+def _row(kind: str, name: Column, version: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("line_no"), name.alias("name"),
+                    version.alias("version"), F.lit(None).cast("string").alias("line"))
 
 
-def _quoted(line: Column) -> Column:
-    return F.coalesce(F.split_part(line, F.lit('"'), F.lit(2)), F.lit(""))
+def _rows(kind: str, entries: Column, name, version) -> Column:
+    return F.transform(entries, lambda e: _row(kind, name(e), version(e))).cast(ROWS)
 
 
-def _paired(lines: DataFrame, is_name: Column, package: Column, is_version: Column) -> DataFrame:
-    """A version line belongs to the nearest name line above it, once."""
-    short = lines.where(is_name | is_version).select(
-        "repo", "path", "manifest", "line_no",
-        F.when(is_name, package).alias("package"), F.when(is_version & ~is_name, _quoted(F.col("line"))).alias("version"),
+def json_rows(doc: Column) -> Column:
+    key = lambda e: e["key"]
+    declared = F.concat(_entries(doc, "dependencies"), _entries(doc, "devDependencies"))
+    packages = _entries(doc, "packages")
+    locked = F.filter(
+        F.when(F.size(packages) > 0, packages).otherwise(_entries(doc, "dependencies")),
+        lambda e: F.startswith(F.schema_of_variant(e["value"]), F.lit("OBJECT"))
+        & (blank_trim(F.replace(e["key"], F.lit("node_modules/"), F.lit(""))) != ""),
     )
-    previous = F.lag(F.struct("package", "version")).over(by_file())
+    composed = F.filter(F.concat(_items(doc, "packages"), _items(doc, "packages-dev")), lambda v: _field(v, "name") != "")
+    manifest = F.col("manifest")
     return (
-        short.withColumn("name", previous["package"])
-        .where((F.col("version").isNotNull()) & (F.coalesce("name", F.lit("")) != ""))
-        .select(*OUT)
-    )
-
-
-def yarn_lock(manifests: DataFrame) -> DataFrame:
-    line = F.col("line")
-    header = (line != "") & ~F.startswith(line, F.lit(" ")) & ~F.startswith(line, F.lit("#"))
-    package = blank_trim(F.btrim(F.split_part(line, F.lit("@"), F.lit(1)), F.lit('"')))
-    return _paired(_lines(manifests, "yarn.lock"), header, package, F.startswith(blank_trim(line), F.lit("version ")) & ~header)
-
-
-def cargo_lock(manifests: DataFrame) -> DataFrame:
-    line = blank_trim(F.col("line"))
-    return _paired(
-        _lines(manifests, "Cargo.lock"), F.startswith(line, F.lit("name = ")), _quoted(line),
-        F.startswith(line, F.lit("version = ")),
+        F.when(manifest == "package.json", F.concat(
+            _rows("package", declared, key, lambda e: F.coalesce(clean_version(_string(e["value"])), F.lit(""))),
+            _rows("script", _entries(doc, "scripts"), key, lambda e: _string(e["value"]))))
+        .when(manifest == "package-lock.json", _rows(
+            "package", locked, lambda e: blank_trim(F.replace(e["key"], F.lit("node_modules/"), F.lit(""))),
+            lambda e: _field(e["value"], "version")))
+        .when(manifest == "Pipfile.lock", _rows(
+            "package", F.concat(_entries(doc, "default"), _entries(doc, "develop")), key,
+            lambda e: F.ltrim(_field(e["value"], "version"), F.lit("="))))
+        .when(manifest == "composer.lock", _rows(
+            "package", composed, lambda v: _field(v, "name"), lambda v: F.ltrim(_field(v, "version"), F.lit("v"))))
     )
 
 
+# --- line formats ----------------------------------------------------------
 OPERATOR = "[><=!~]+"
 
 
-def _requirement(text: Column) -> tuple[Column, Column]:
+def requirement(text: Column) -> tuple[Column, Column]:
     """Package and version around the first run of operators."""
     package = blank_trim(F.regexp_replace(text, rf"(?s){OPERATOR}.*\z", ""))
     version = F.ltrim(blank_trim(F.regexp_extract(text, rf"(?s){OPERATOR}(.*)\z", 1)), F.lit("="))
     return package, version
 
 
-def requirements_txt(manifests: DataFrame) -> DataFrame:
-    line = blank_trim(F.col("line"))
-    spec = F.regexp_replace(blank_trim(F.split_part(line, F.lit(";"), F.lit(1))), r"\[.*?\]", "")
-    package, version = _requirement(spec)
-    return (
-        _lines(manifests, "requirements.txt")
-        .where((line != "") & ~F.startswith(line, F.lit("#")) & ~F.startswith(line, F.lit("-")))
-        .select("repo", "path", "manifest", package.alias("name"), version.alias("version"))
-        .where("name <> ''")
-    )
+def _quoted(line: Column) -> Column:
+    return F.coalesce(F.split_part(line, F.lit('"'), F.lit(2)), F.lit(""))
 
 
-def go_sum(manifests: DataFrame) -> DataFrame:
-    parts = F.split(blank_trim(F.col("line")), rf"[{K.BLANK}]+")
-    return (
-        _lines(manifests, "go.sum").where(F.size(parts) >= 2)
-        .select("repo", "path", "manifest", "line_no", parts[0].alias("name"),
-                F.ltrim(F.split_part(parts[1], F.lit("/"), F.lit(1)), F.lit("v")).alias("version"))
-        .groupBy("repo", "path", "manifest", "name").agg(F.min_by("version", "line_no").alias("version"))
-        .select(*OUT)
-    )
+def line_rows(content: Column) -> Column:
+    return F.transform(
+        F.split(content, LINE_BREAK),
+        lambda line, i: F.struct(F.lit("line").alias("kind"), i.cast("int").alias("line_no"),
+                                 F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"),
+                                 line.alias("line")),
+    ).cast(ROWS)
+
 
+def _paired_formats(manifest: Column, line: Column, text: Column) -> tuple[Column, Column]:
+    """Name lines (with the package) and version lines of yarn.lock and Cargo.lock."""
+    header = (line != "") & ~F.startswith(line, F.lit(" ")) & ~F.startswith(line, F.lit("#"))
+    yarn_name = blank_trim(F.btrim(F.split_part(line, F.lit("@"), F.lit(1)), F.lit('"')))
+    package = F.when((manifest == "yarn.lock") & header, yarn_name).when(
+        (manifest == "Cargo.lock") & F.startswith(text, F.lit("name = ")), _quoted(text))
+    version = F.when(package.isNull() & (
+        ((manifest == "yarn.lock") & F.startswith(text, F.lit("version ")))
+        | ((manifest == "Cargo.lock") & F.startswith(text, F.lit("version = ")))), _quoted(line))
+    return package, version
 
-def gemfile_lock(manifests: DataFrame) -> DataFrame:
-    """Lines after ``specs:`` up to the next blank line that is not indented."""
-    line = F.col("line")
+
+def marked_lines(rows: DataFrame) -> DataFrame:
+    """Per line: what it says about itself and about the lines after it."""
+    manifest, line = F.col("manifest"), F.col("line")
     text = blank_trim(line)
-    signal = F.when(text == "specs:", "on").when((text == "") & ~F.startswith(line, F.lit(" ")), "off").when(
-        F.startswith(text, F.lit("(")) & ~F.startswith(line, F.lit(" ")), "off")
-    listed = F.regexp_extract(text, rf"^([^{K.BLANK}]+)[{K.BLANK}]*\(([^)]+)\)", 1)
-    version = F.regexp_extract(text, rf"^([^{K.BLANK}]+)[{K.BLANK}]*\(([^)]+)\)", 2)
-    name = F.when(listed != "", listed).otherwise(blank_trim(F.split_part(text, F.lit("("), F.lit(1))))
-    return (
-        _lines(manifests, "Gemfile.lock")
-        .withColumn("signal", signal)
-        .withColumn("state", F.last("signal", ignorenulls=True).over(before()))
-        .where((F.col("state") == "on") & F.col("signal").isNull() & (text != "") & ~F.startswith(text, F.lit("(")))
-        .select("repo", "path", "manifest", name.alias("name"), version.alias("version"))
-        .where("name <> ''")
+    package, pair_version = _paired_formats(manifest, line, text)
+    outdented = ~F.startswith(line, F.lit(" "))
+    specs = F.when(manifest == "Gemfile.lock", F.when(text == "specs:", "on").when(
+        outdented & ((text == "") | F.startswith(text, F.lit("("))), "off"))
+    toml = (manifest == "pyproject.toml") & (text != "") & ~F.startswith(text, F.lit("#"))
+    header = F.when(toml, F.nullif(F.regexp_extract(text, r"^\[([^\[\]]+)\]", 1), F.lit("")))
+    key = F.when(toml, F.regexp_extract(text, r"""^["']?([A-Za-z0-9_.-]+)["']?\s*=""", 1))
+    opens = F.when(toml & F.rlike(text, F.lit(r"^[^=]+=\s*\[")), key)
+    closes = toml & F.contains(F.regexp_replace(text, r'"[^"]*"|\'[^\']*\'', ""), F.lit("]"))
+    wanted = (
+        (F.col("kind") != "line") | package.isNotNull() | pair_version.isNotNull()
+        | ((manifest == "Gemfile.lock") & ((text != "") | outdented)) | toml
+        | ((manifest == "requirements.txt") & (text != "") & ~F.startswith(text, F.lit("#")) & ~F.startswith(text, F.lit("-")))
+        | ((manifest == "go.sum") & F.rlike(text, F.lit(rf"[{K.BLANK}]")))
+    )
+    return rows.where(wanted).select(
+        "repo", "path", "manifest", "kind", "line_no", "name", "version", text.alias("text"), package.alias("package"),
+        pair_version.alias("pair_version"), specs.alias("specs"), header.alias("header"), key.alias("key"), opens.alias("opens"),
+        F.when(header.isNotNull(), "").when(opens.isNotNull() & ~closes, opens).when(closes, "").alias("array_event"),
     )
 
 
-def pyproject_toml(manifests: DataFrame) -> DataFrame:
-    """PEP 621 and Poetry tables, by section header and open array.
-
-    Multi-line strings and dotted keys are out of scope.
-    """
-    text = blank_trim(F.col("line"))
-    header = F.regexp_extract(text, r"^\[([^\[\]]+)\]", 1)
-    key = F.regexp_extract(text, r"""^["']?([A-Za-z0-9_.-]+)["']?\s*=""", 1)
-    is_header = header != ""
-    opens = F.when(F.rlike(text, F.lit(r"^[^=]+=\s*\[")), key)
-    bare = F.regexp_replace(text, r'"[^"]*"|\'[^\']*\'', "")
-    rows = (
-        _lines(manifests, "pyproject.toml").where((text != "") & ~F.startswith(text, F.lit("#")))
-        .withColumn("section", F.last(F.when(is_header, header), ignorenulls=True).over(by_file()))
-        .withColumn("array_event", F.when(is_header, "").when(opens.isNotNull() & ~F.contains(bare, F.lit("]")), opens)
-                    .when(F.contains(bare, F.lit("]")), ""))
-        .withColumn("open_key", F.coalesce(F.last("array_event", ignorenulls=True).over(before()), F.lit("")))
-        .withColumn("array_key", F.when(F.col("open_key") != "", F.col("open_key")).otherwise(opens))
-        .where(~is_header)
+def manifest_rows(files: DataFrame) -> DataFrame:
+    """``(repo, path, manifest, kind, name, version)``; kind is ``package`` or ``script``."""
+    manifests = manifest_files(files)
+    is_json = F.col("manifest").isin(JSON_FORMATS)
+    parsed = manifests.select("repo", "path", "manifest", "content", F.when(is_json, F.try_parse_json("content")).alias("doc"))
+    rows = parsed.select("repo", "path", "manifest", F.inline(
+        F.when(is_json, json_rows(F.col("doc"))).otherwise(line_rows(F.col("content")))))
+    by_file = Window.partitionBy("repo", "path", "manifest").orderBy("line_no")
+    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    seen = (
+        marked_lines(rows)
+        .withColumn("above", F.lag("package").over(by_file))
+        .withColumn("in_specs", last("specs", before) == "on")
+        .withColumn("section", last("header", by_file))
+        .withColumn("open_key", F.coalesce(last("array_event", before), F.lit("")))
     )
-    items = F.regexp_extract_all(text, F.lit(r'"([^"]*)"|\'([^\']*)\''), F.lit(0))
-    spec = F.regexp_replace(F.col("item"), r"""^["']|["']\z""", "")
-    package, version = _requirement(spec)
-    package = F.split_part(package, F.lit("["), F.lit(1))
-    section, array_key = F.col("section"), F.col("array_key")
+    text, manifest, section, key = F.col("text"), F.col("manifest"), F.col("section"), F.col("key")
+    array_key = F.when(F.col("open_key") != "", F.col("open_key")).otherwise(F.col("opens"))
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(r'"([^"]*)"|\'([^\']*)\''), F.lit(0)),
+                         lambda q: F.regexp_replace(q, r"""^["']|["']\z""", ""))
     optional = section == "project.optional-dependencies"
-    listed = (
-        rows.where(((section == "project") & (array_key == "dependencies")) | (optional & (F.coalesce(array_key, F.lit("")) != "")))
-        .select("repo", "path", "manifest", optional.alias("optional"), F.explode(items).alias("item"))
-        .select("repo", "path", "manifest", package.alias("name"),
-                F.when(F.col("optional"), "").otherwise(version).alias("version"))
-        .where("name <> ''")
-    )
     poetry, dev = section == "tool.poetry.dependencies", section == "tool.poetry.dev-dependencies"
     value = F.regexp_extract(text, r"""=\s*["']([^"']*)["']""", 1)
-    inline = F.regexp_extract(text, r"""[{,]\s*version\s*=\s*["']([^"']*)["']""", 1)
+    in_table = F.regexp_extract(text, r"""[{,]\s*version\s*=\s*["']([^"']*)["']""", 1)
     is_table = F.rlike(text, F.lit(r"=\s*\{"))
-    keyed = (
-        rows.where((poetry | dev) & (key != "") & (F.col("open_key") == "") & (dev | (F.lower(key) != "python")))
-        .select("repo", "path", "manifest", key.alias("name"), clean_version(
-            F.when(is_table, F.when(poetry, inline).otherwise("")).otherwise(value)).alias("version"))
+    pair = lambda n, v: F.struct(n.alias("name"), v.alias("version"))
+
+    def listed(q: Column) -> Column:
+        package, version = requirement(q)
+        return pair(F.split_part(package, F.lit("["), F.lit(1)), F.when(optional, "").otherwise(version))
+
+    toml = F.when(F.col("header").isNotNull(), F.array().cast("array<struct<name:string,version:string>>")).when(
+        ((section == "project") & (array_key == "dependencies")) | (optional & (F.coalesce(array_key, F.lit("")) != "")),
+        F.transform(quoted, listed),
+    ).when(
+        (poetry | dev) & (key != "") & (F.col("open_key") == "") & (dev | (F.lower("key") != "python")),
+        F.array(pair(key, clean_version(F.when(is_table, F.when(poetry, in_table).otherwise("")).otherwise(value)))),
+    )
+    requested = requirement(F.regexp_replace(
+        blank_trim(F.split_part(text, F.lit(";"), F.lit(1))), r"\[.*?\]", ""))
+    words = F.split(text, rf"[{K.BLANK}]+")
+    gem = rf"^([^{K.BLANK}]+)[{K.BLANK}]*\(([^)]+)\)"
+    gem_name = F.when(F.rlike(text, F.lit(gem)), F.regexp_extract(text, gem, 1)).otherwise(
+        blank_trim(F.split_part(text, F.lit("("), F.lit(1))))
+    found = (
+        F.when(F.col("kind") != "line", F.array(pair(F.col("name"), F.col("version"))))
+        .when(manifest.isin("yarn.lock", "Cargo.lock"), F.when(
+            F.col("pair_version").isNotNull(), F.array(pair(F.col("above"), F.col("pair_version")))))
+        .when(manifest == "requirements.txt", F.array(pair(*requested)))
+        .when(manifest == "go.sum", F.array(pair(
+            words[0], F.ltrim(F.split_part(words[1], F.lit("/"), F.lit(1)), F.lit("v")))))
+        .when(manifest == "Gemfile.lock", F.when(
+            F.col("in_specs") & F.col("specs").isNull() & (text != "") & ~F.startswith(text, F.lit("(")),
+            F.array(pair(gem_name, F.regexp_extract(text, gem, 2)))))
+        .when(manifest == "pyproject.toml", toml)
+    )
+    out = seen.select(
+        "repo", "path", "manifest", F.when(F.col("kind") == "script", "script").otherwise("package").alias("kind"),
+        "line_no", F.inline(found),
+    ).where((F.coalesce("name", F.lit("")) != "") | (F.col("manifest").isin(JSON_FORMATS)))
+    # go.sum names every module twice: the first line counts
+    once = Window.partitionBy("repo", "path", "manifest", "name").orderBy("line_no")
+    return (
+        out.withColumn("nth", F.when(F.col("manifest") == "go.sum", F.row_number().over(once)).otherwise(1))
+        .where("nth = 1").drop("nth", "line_no")
     )
-    return listed.unionByName(keyed)
 
 
-FORMATS = {
-    "package.json": package_json, "package-lock.json": package_lock, "yarn.lock": yarn_lock,
-    "requirements.txt": requirements_txt, "Pipfile.lock": pipfile_lock, "Cargo.lock": cargo_lock,
-    "go.sum": go_sum, "Gemfile.lock": gemfile_lock, "composer.lock": composer_lock, "pyproject.toml": pyproject_toml,
-}
+def packages_of(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'package'").select(*OUT)
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    manifests = manifest_files(files)
-    return reduce(DataFrame.unionByName, [read(manifests) for read in FORMATS.values()])
+    return packages_of(manifest_rows(files))
 
 
 def merged_dependencies(deps: DataFrame) -> DataFrame:
@@ -249,20 +226,24 @@ def merged_dependencies(deps: DataFrame) -> DataFrame:
     return deps.select("repo", "manifest", "name", "version").distinct()
 
 
-def npm_hooks(files: DataFrame) -> DataFrame:
-    """Lifecycle scripts, and scripts that pipe a download into a shell."""
-    scripts = _explode_object(_of(manifest_files(files), "package.json"), "scripts")
-    command = _text(F.col("info"))
+def hook_findings() -> Column:
+    """Findings of one script row: a lifecycle script, and a download piped into a shell."""
     hook = F.when(F.col("name").isin(K.NPM_LIFECYCLE_HOOKS), F.struct(
         F.lit(K.SEVERITY.get("NPM Dangerous Hook", "CRITICAL")).alias("severity"),
         F.concat(F.lit("Hook de NPM perigoso ('"), F.col("name"), F.lit("')")).alias("description"),
         F.lit("NPM Dangerous Hook").alias("type"),
     ))
-    pipe = F.when(F.rlike(command, F.lit(FLAGS + K.NPM_PIPE_TO_SHELL)), F.struct(
+    pipe = F.when(F.rlike(F.col("version"), F.lit(FLAGS + K.NPM_PIPE_TO_SHELL)), F.struct(
         F.lit("CRITICAL").alias("severity"),
         F.concat(F.lit("Script NPM com pipe remoto para shell ('"), F.col("name"), F.lit("')")).alias("description"),
         F.lit("Remote Code Loading").alias("type"),
     ))
-    return scripts.select(
-        "repo", F.col("path").alias("file"), F.inline(F.filter(F.array(hook, pipe), lambda h: h.isNotNull()))
-    )
+    return F.filter(F.array(hook, pipe), lambda h: h.isNotNull())
+
+
+def hooks_of(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'script'").select("repo", F.col("path").alias("file"), F.inline(hook_findings()))
+
+
+def npm_hooks(files: DataFrame) -> DataFrame:
+    return hooks_of(manifest_rows(files))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintscan import catalogue as K
-from glintscan.functions import intel as I
+from glintscan.functions import confidence as C
 from glintscan.operators.joins import salted_left_join
 
 RANK = ["file", "stage", "line_no", "pos", "rule_no", "match_no", "type", "description"]
@@ -15,7 +15,8 @@ def parse_verdict(payload: Column) -> Column:
     """``struct(verdict, score)`` from a free-text answer holding one JSON object."""
     doc = F.try_parse_json(F.regexp_extract(payload, r"(?s)\{.*\}", 0))
     raw = F.try_variant_get(doc, "$.score", "variant")
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_variant_get(doc, "$.score", "double")))
+    number = F.try_variant_get(doc, "$.score", "double")
+    score = F.when(number.isNotNull(), C.clamp(number))
     status = F.upper(F.coalesce(F.try_variant_get(doc, "$.status", "string"), F.lit("")))
     named = lambda v, s: F.struct(F.lit(v).alias("verdict"), (s if isinstance(s, Column) else F.lit(s)).alias("score"))
     return (

@@ -42,26 +42,38 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
     too, with their disposition.  Files without hits keep a row with their hash.
     """
     chosen = filters.inspectable(files, case_fix)
-    hits = scan(chosen, rules)
-    found = triage.triage(hits.where("row_kind = 'finding'"))
-    hooks = manifests.npm_hooks(chosen).withColumn("disposition", F.lit("accept"))
-    sensitive = filters.sensitive_files(files, case_fix).select(
-        "*", F.lit("LOW").alias("severity"), F.lit("candidate").alias("disposition"))
-    kinds = F.struct(*STATE_FINDING)
-    as_finding = (
-        found.where("disposition <> 'discard'")
-        .unionByName(hooks, allowMissingColumns=True).unionByName(sensitive, allowMissingColumns=True)
-        .select("repo", F.col("file").alias("path"), kinds.cast(S.FINDING).alias("finding"))
+    no_finding, no_ioc = F.lit(None).cast(S.FINDING), F.lit(None).cast(S.IOC)
+    no_dependency = F.lit(None).cast(S.DEPENDENCY)
+
+    def part(df: DataFrame, path: str, finding, ioc, dependency) -> DataFrame:
+        return df.select("repo", F.col(path).alias("path"), F.lit(None).cast("string").alias("content_hash"),
+                         finding.alias("finding"), ioc.alias("ioc"), dependency.alias("dependency"))
+
+    def finding(df: DataFrame):
+        return F.struct(*[
+            (F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in STATE_FINDING]).cast(S.FINDING)
+
+    # findings and indicators leave the scan together, so the content is scanned once
+    hits = triage.triage(scan(chosen, rules)).withColumn("ioc", F.col("match_content"))
+    is_ioc = F.col("row_kind") == "ioc"
+    from_hits = part(
+        hits.where(is_ioc | (F.col("disposition") != "discard")), "file",
+        F.when(~is_ioc, finding(hits)), F.when(is_ioc, F.struct(*STATE_IOC).cast(S.IOC)), no_dependency,
     )
-    as_ioc = hits.where("row_kind = 'ioc'").withColumn("ioc", F.col("match_content")).select(
-        "repo", F.col("file").alias("path"), F.struct(*STATE_IOC).cast(S.IOC).alias("ioc"))
-    as_dep = manifests.dependencies(chosen).select(
-        "repo", "path", F.struct("manifest", "name", "version").alias("dependency"))
-    keys = files.select("repo", "path", F.col("sha").alias("content_hash"))
-    rows = (
-        keys.unionByName(as_finding, allowMissingColumns=True)
-        .unionByName(as_ioc, allowMissingColumns=True).unionByName(as_dep, allowMissingColumns=True)
+    manifest = manifests.manifest_rows(chosen).withColumn(
+        "hook", F.explode_outer(F.when(F.col("kind") == "script", manifests.hook_findings()))
+    ).select("*", "hook.*").withColumn("disposition", F.lit("accept"))
+    from_manifests = part(
+        manifest.where("kind = 'package' OR hook IS NOT NULL"), "path",
+        F.when(F.col("hook").isNotNull(), finding(manifest)), no_ioc,
+        F.when(F.col("kind") == "package", F.struct("manifest", "name", "version").cast(S.DEPENDENCY)),
     )
+    sensitive = filters.sensitive_files(files, case_fix).select(
+        "*", F.lit("LOW").alias("severity"), F.lit("candidate").alias("disposition"))
+    from_names = part(sensitive, "file", finding(sensitive), no_ioc, no_dependency)
+    keys = files.select("repo", "path", F.col("sha").alias("content_hash"),
+                        no_finding.alias("finding"), no_ioc.alias("ioc"), no_dependency.alias("dependency"))
+    rows = keys.unionByName(from_hits).unionByName(from_manifests).unionByName(from_names)
     return rows.groupBy("repo", "path").agg(
         F.max("content_hash").alias("content_hash"), F.collect_list("finding").alias("findings"),
         F.collect_list("ioc").alias("iocs"), F.collect_list("dependency").alias("dependencies"),
