@@ -10,6 +10,7 @@ first hit of each kind per file wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -46,11 +47,21 @@ def compile_rules(rules: Sequence[Rule]) -> list[Rule]:
     return list(rules)
 
 
-def line_gate(rules: Sequence[Rule]) -> list[str] | None:
-    """Patterns of which every line with a hit matches one; None when a rule has no gate."""
-    if any(r.gate is None for r in rules):
+# A pattern with one of these may match a line by itself but not inside the text.
+LINE_BOUND = re.compile(r"\\[AZzGbB]|\(\?[=!<>]|[+*?}]\+|\$|(?<!\[)\^")
+
+
+def line_gate(rules: Sequence[Rule], whole_text: bool = False) -> list[str] | None:
+    """Patterns of which every line with a hit matches one.
+
+    Rules without a gate stand for themselves.  For a whole text the result is
+    None when such a rule looks at the borders of the line.
+    """
+    gated_rules = [r for r in rules if r.gate is not None]
+    plain = [r for r in rules if r.gate is None]
+    if whole_text and any(LINE_BOUND.search(r.pattern.replace(r"\b", "")) for r in plain):
         return None
-    return K.gate_patterns([alt for r in rules for alt in r.gate])
+    return K.gate_patterns([alt for r in gated_rules for alt in r.gate]) + [FLAGS + r.pattern for r in plain]
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
@@ -80,10 +91,9 @@ def gated(condition: Column, texts: Column, kind: str) -> Column:
 
 def line_candidates(rules: Sequence[Rule]) -> Column:
     """Gated lines with their numbers, plus block-comment markers of such files."""
-    gate = line_gate(rules)
     is_js = F.col("ext").isin(K.JS_EXTENSIONS)
 
-    def wanted(text: Column) -> Column:
+    def wanted(text: Column, gate: list[str] | None) -> Column:
         by_rule = matches_any(text, gate) if gate is not None else F.lit(True)
         by_word = reduce(or_, [F.contains(text, F.lit(w)) for w in K.JS_KEYWORDS])
         return by_rule | (is_js & by_word)
@@ -93,11 +103,11 @@ def line_candidates(rules: Sequence[Rule]) -> Column:
         lambda line, i: F.struct(
             F.lit("line").alias("kind"), i.alias("pos"),
             X.block_marker(line, F.col("family")).alias("marker"),
-            F.when(wanted(line), line).alias("txt"),
+            F.when(wanted(line, line_gate(rules)), line).alias("txt"),
         ),
     )
     kept = F.filter(lines, lambda t: t["txt"].isNotNull() | t["marker"].isNotNull())
-    return F.when(wanted(F.col("content")), kept).otherwise(_none(TOKEN))
+    return F.when(wanted(F.col("content"), line_gate(rules, whole_text=True)), kept).otherwise(_none(TOKEN))
 
 
 def content_candidates() -> list[Column]:
@@ -119,11 +129,11 @@ def content_candidates() -> list[Column]:
             F.regexp_extract_all(c, F.lit(K.HEX_TOKEN), F.lit(0)), "hex",
         ),
         gated(
-            matches(c, "%3[aA]%2[fF]%2[fF]"),
+            F.contains(c, F.lit("%3")) & matches(c, "%3[aA]%2[fF]%2[fF]"),
             F.regexp_extract_all(c, F.lit(FLAGS + K.URL_ENCODED_DSN), F.lit(0)), "urlenc",
         ),
         gated(
-            matches(c, digits_array),
+            F.contains(c, F.lit("[")) & matches(c, digits_array),
             F.filter(F.regexp_extract_all(c, F.lit(digits_array), F.lit(1)),
                      lambda t: matches(t, r"[0-9](?:[^0-9]+[0-9]{2,3}){7}")), "chars",
         ),
@@ -170,13 +180,24 @@ def _rlike(text: str, pattern: str) -> str:
     return f"rlike({text}, {quote(pattern)})"
 
 
+def gate_test(gate: list[tuple[str, str]], text: str) -> str:
+    """The gate of one rule: a byte search for each rare character, then its alternative."""
+    out = []
+    for first, rest in gate:
+        for ch in first:
+            here = f"contains({text}, {quote(ch)})"
+            if re.fullmatch(r"[A-Za-z0-9_ /{:=\"-]*|\\\{[a-z:]*", rest):
+                out.append(f"contains({text}, {quote(ch + rest.replace(chr(92), ''))})")
+            else:
+                out.append(f"({here} AND {_rlike(text, re.escape(ch) + '(?:' + rest + ')')})")
+    return "(" + " OR ".join(out) + ")"
+
+
 def fires(rule: Rule, text: str) -> str:
     """Does the rule match anywhere in the text; the gate spares most of the work."""
     lead = K.LEADS.get(rule.id, "")
     body = _rlike(text, f"{FLAGS}{lead}(?:{rule.linear or rule.pattern})")
-    if not rule.gate:
-        return body
-    return "(" + " OR ".join(_rlike(text, g) for g in K.gate_patterns(rule.gate)) + f") AND {body}"
+    return f"{gate_test(rule.gate, text)} AND {body}" if rule.gate else body
 
 
 def line_hits(rules: Sequence[Rule]) -> list[str]:

@@ -10,6 +10,7 @@ from glintscan.catalogue import Rule
 from glintscan.operators import correlate, dedup, detect, filters, lookup, manifests, score, triage, verdict
 from glintscan.sources import state as S
 from glintscan.sources.files import within_limit
+from glintscan.sources.staging import spread
 
 STATE_FINDING = [
     "type", "description", "match_content", "confidence", "file_context", "severity", "disposition", *detect.SEQUENCE,
@@ -19,7 +20,8 @@ STATE_IOC = ["ioc", *detect.SEQUENCE]
 
 def scan(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Findings and indicators of ``files(repo, path, name, content)``."""
-    return detect.hits(within_limit(files), rules)
+    columns = files.select("repo", "path", "name", "content")
+    return detect.hits(spread(within_limit(columns)), rules)
 
 
 def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:

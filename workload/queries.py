@@ -14,6 +14,7 @@ from glintscan.operators import (
 )
 from glintscan.plans import reports, repository
 from glintscan.sources import files as src_files, targets
+from glintscan.sources.staging import stage
 from workload import tables as W
 from workload.corpus import SPARK, files, load
 
@@ -58,7 +59,12 @@ def accepted(spark, sf) -> DataFrame:
 
 
 def candidates(spark, sf) -> DataFrame:
-    return triage.review_candidates(triaged(spark, sf))
+    """Kept on disk: the rank cut reads them more than once."""
+    return stage(triage.review_candidates(triaged(spark, sf)))
+
+
+def indicators(spark, sf) -> DataFrame:
+    return stage(detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file"))
 
 
 def as_reports(df: DataFrame, *names: str) -> DataFrame:
@@ -175,7 +181,7 @@ def scan_summary(spark, sf):
 
 @query
 def custom_rule_tokens(spark, sf):
-    return detail(detect.findings_of(detect.hits(table(spark, sf, W.custom_files_sql(SPARK)), CUSTOM_RULES)).where("stage IN (1, 2)"))
+    return detail(detect.findings_of(repository.scan(table(spark, sf, W.custom_files_sql(SPARK)), CUSTOM_RULES)).where("stage IN (1, 2)"))
 
 
 # --- triage to score -----------------------------------------------------------
@@ -257,7 +263,7 @@ def dependencies_merged(spark, sf):
 
 @query
 def vulnerable_deps(spark, sf):
-    deps = manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf)))
+    deps = stage(manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf))))
     return lookup.vulnerable_dependencies(deps, table(spark, sf, W.advisories_sql(SPARK)))
 
 
@@ -268,8 +274,7 @@ def url_intel(spark, sf):
 
 @query
 def ioc_reputation(spark, sf):
-    iocs = detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file")
-    return lookup.ioc_reputation(iocs, url_intel(spark, sf)).select(
+    return lookup.ioc_reputation(indicators(spark, sf), url_intel(spark, sf)).select(
         "repo", "ioc", "source_file", "lookup", I.safe_get(F.col("virustotal"), I.MALICIOUS, "bigint").alias("malicious"),
         I.urlhaus_status(F.col("urlhaus")).alias("urlhaus_status"))
 
@@ -366,14 +371,13 @@ def repo_summary_report(spark, sf):
 @query
 def findings_report(spark, sf):
     """Only serious findings, so that some repositories have none."""
-    serious = accepted(spark, sf).where("type IN ('JNDI Injection', 'Private Key')")
+    serious = stage(accepted(spark, sf).where("type IN ('JNDI Injection', 'Private Key')"))
     return reports.repo_findings(files(spark, sf), serious)
 
 
 @query
 def iocs_report(spark, sf):
-    iocs = detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file")
-    return reports.repo_iocs(lookup.ioc_reputation(iocs, url_intel(spark, sf)))
+    return reports.repo_iocs(lookup.ioc_reputation(indicators(spark, sf), url_intel(spark, sf)))
 
 
 @query
@@ -383,10 +387,11 @@ def report_metadata(spark, sf):
 
 @query
 def repository_facts(spark, sf):
-    iocs = detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file")
-    return claims.repository_facts(
-        accepted(spark, sf), lookup.ioc_reputation(iocs, url_intel(spark, sf)), risk_score(spark, sf)
-    ).groupBy("section", "repo", "fact").agg(F.count("*").alias("n"))
+    hits = stage(scanned(spark, sf))
+    found = triage.accepted(triage.triage(detect.findings_of(hits)))
+    iocs = lookup.ioc_reputation(detect.iocs_of(hits).select("repo", "ioc", "source_file"), url_intel(spark, sf))
+    scores = score.risk_scores(dedup.deduplicate(found), files(spark, sf))
+    return claims.repository_facts(found, iocs, scores).groupBy("section", "repo", "fact").agg(F.count("*").alias("n"))
 
 
 @query
