@@ -255,7 +255,7 @@ def hits_ctes(rules: dict[str, str] | None = None) -> list[str]:
         *files_ctes(), *line_ctes(), *rule_cte("secret", rules, K.SECRET), *rule_cte("suspicious", rules, K.SUSPICIOUS),
         *js_cte(), *token_ctes(rules),
         f"all_hits AS ({' UNION ALL '.join(parts)})",
-        f"""hits AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, row_kind, once, {key}
+        f"""hits AS MATERIALIZED (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, row_kind, once, {key}
               ORDER BY stage, line_no, pos, rule_no, match_no) AS nth FROM all_hits) WHERE NOT once OR nth = 1)""",
     ]
 
