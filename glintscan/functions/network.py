@@ -61,7 +61,7 @@ def is_public_ipv4(v: Column) -> Column:
         | (v == 0xFFFFFFFF)
         | (c == (192 << 16) + 2)
         | (c == (198 << 16) + (51 << 8) + 100)
-        | (c == (203 << 16) + (113 << 8))
+        | (c == (203 << 16) + 113)
     )
 
 

@@ -193,11 +193,16 @@ def gate_test(gate: list[tuple[str, str]], text: str) -> str:
     return "(" + " OR ".join(out) + ")"
 
 
-def fires(rule: Rule, text: str) -> str:
-    """Does the rule match anywhere in the text; the gate spares most of the work."""
-    lead = K.LEADS.get(rule.id, "")
-    body = _rlike(text, f"{FLAGS}{lead}(?:{rule.linear or rule.pattern})")
-    return f"{gate_test(rule.gate, text)} AND {body}" if rule.gate else body
+def variants(rule: Rule, text: str) -> list[tuple[str, str]]:
+    """``(condition, pattern)`` pairs of which at most one holds: how to match the rule on a text."""
+    pattern = rule.linear or rule.pattern
+    gate = f"{gate_test(rule.gate, text)} AND " if rule.gate else ""
+    body = lambda p: _rlike(text, f"{FLAGS}{K.LEADS.get(rule.id, '')}(?:{p})")
+    if rule.linear and rule.id in K.GUARDS:
+        guard, rest = K.GUARDS[rule.id]
+        possible = _rlike(text, FLAGS + guard)
+        return [(f"{gate}{possible} AND {body(pattern)}", pattern), (f"{gate}NOT {possible} AND {body(rest)}", rest)]
+    return [(gate + body(pattern), pattern)]
 
 
 def line_hits(rules: Sequence[Rule]) -> list[str]:
@@ -209,18 +214,19 @@ def line_hits(rules: Sequence[Rule]) -> list[str]:
             f"Suspicious JS keyword '{word}'", K.BASE_CONFIDENCE["Suspicious JS Keyword"], True, NO_TEXTS, "array(trimmed)",
         ))
     for no, rule in enumerate(rules):
-        # group 1 is the text since the previous match, group 2 the match
-        wrapped = quote(f"{FLAGS}((?s:.*?){K.LEADS.get(rule.id, '')})({rule.linear or rule.pattern})")
-        texts = [f"regexp_extract_all(txt, {wrapped}, {g})" for g in (1, 2)]
         base = K.BASE_CONFIDENCE.get(rule.id, K.DEFAULT_CONFIDENCE)
-        if rule.klass == K.SUSPICIOUS:
-            out.append(_case(f"talks AND {fires(rule, 'txt')}", "finding", "suspicious", no, rule.id,
-                             f"Comando suspeito: '{rule.id}'", base, False, *texts))
-        elif rule.id == "Generic API Key":
-            out.append(_case(fires(rule, "txt"), "finding", "secret", no, rule.id, "Possible API key.", base, False, *texts))
-        else:
-            out.append(_case(fires(rule, "txt"), "finding", "secret", no, rule.id,
-                             f"Possible exposed secret '{rule.id}'", base, True, *texts))
+        for condition, pattern in variants(rule, "txt"):
+            # group 1 is the text since the previous match, group 2 the match
+            wrapped = quote(f"{FLAGS}((?s:.*?){K.LEADS.get(rule.id, '')})({pattern})")
+            texts = [f"regexp_extract_all(txt, {wrapped}, {g})" for g in (1, 2)]
+            if rule.klass == K.SUSPICIOUS:
+                out.append(_case(f"talks AND {condition}", "finding", "suspicious", no, rule.id,
+                                 f"Comando suspeito: '{rule.id}'", base, False, *texts))
+            elif rule.id == "Generic API Key":
+                out.append(_case(condition, "finding", "secret", no, rule.id, "Possible API key.", base, False, *texts))
+            else:
+                out.append(_case(condition, "finding", "secret", no, rule.id,
+                                 f"Possible exposed secret '{rule.id}'", base, True, *texts))
     return out
 
 
@@ -240,7 +246,7 @@ def token_hits(rules: Sequence[Rule]) -> list[str]:
         ("hex", "Hidden IOC (Hex)", "hex encoding", 0.80), ("chars", "Hidden IOC (Char Array)", "char array", 0.85),
     ]:
         out += [
-            _case(f"kind = '{stage}' AND {fires(r, 'decoded')}", "finding", stage, no + 1, ftype,
+            _case(f"kind = '{stage}' AND {variants(r, 'decoded')[0][0]}", "finding", stage, no + 1, ftype,
                   f"Secret '{r.id}' hidden in {label}", conf, False, NO_TEXTS, "array(decoded)")
             for no, r in enumerate(rules) if r.klass == K.SECRET
         ]

@@ -23,7 +23,11 @@ def walkable(entries: DataFrame) -> DataFrame:
 
 
 def scannable_files(spark: SparkSession, root: str) -> DataFrame:
-    """All scannable files under ``root`` with metadata; the size filter reaches the source."""
+    """All scannable files under ``root`` with metadata; the size filter reaches the source.
+
+    Spark's listing leaves out names that start with a dot or an underscore;
+    such files have to come in a table.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return walkable(listed.withColumn("path", _relative(F.col("path"), root)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,11 @@ def spread(files: DataFrame, keys: tuple[str, ...] = ("repo", "path")) -> DataFr
     return files.repartition(2 * cores, *keys)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="glintscan-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="glintscan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def stage(df: DataFrame) -> DataFrame:
