@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glintscan import catalogue as K
 from glintscan.functions import intel as I
 from glintscan.functions import text as T
+from glintscan.operators.joins import salted_left_join
 from glintscan.sqltext import FLAGS
 
 
@@ -26,10 +27,11 @@ def unsupported_claims(texts: DataFrame, known: DataFrame) -> DataFrame:
     """Claims that ``known(kind, value)`` does not hold.
 
     URLs and hashes are only checked when there is something of their kind to
-    check against.
+    check against.  A value that many texts name is spread over several tasks.
     """
     kinds = known.select("kind").distinct()
-    checked = claims(texts).join(known.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
+    values = known.select("kind", "value", F.lit(True).alias("known")).distinct()
+    checked = salted_left_join(claims(texts), values, ["kind", "value"], ["text_id"]).where("known IS NULL").drop("known")
     return checked.join(kinds.withColumn("has", F.lit(True)), "kind", "left").where(
         (F.col("kind") == "ip") | F.col("has")
     ).drop("has")

@@ -25,9 +25,12 @@ def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> D
     deps = with_ecosystem(dependencies).select("repo", "manifest", "ecosystem", "name", "version").distinct()
     wanted = deps.select("ecosystem", "name", "version").distinct()
     malicious = F.startswith("id", F.lit("MAL-"))
+    # equal versions meet by key, so a package never pairs all its versions with all its advisories
+    by_version = advisories.select("ecosystem", "name", F.explode("versions").alias("version"), "id")
+    versioned = wanted.where("version <> ''").join(by_version, ["ecosystem", "name", "version"])
+    unversioned = wanted.where("version = ''").join(advisories.select("ecosystem", "name", "id"), ["ecosystem", "name"])
     found = (
-        wanted.join(advisories, ["ecosystem", "name"])
-        .where((F.col("version") == "") | F.array_contains("versions", F.col("version")))
+        versioned.unionByName(unversioned)
         .groupBy("ecosystem", "name", "version")
         .agg(F.sort_array(F.collect_set(F.when(malicious, F.col("id")))).alias("mal"),
              F.sort_array(F.collect_set(F.when(~malicious, F.col("id")))).alias("vul"))
@@ -63,13 +66,13 @@ def ioc_reputation(iocs: DataFrame, intel: DataFrame, limit: int = K.MAX_IOC_CHE
     """
     wanted = iocs.select("repo", "ioc").distinct()
     first = Window.partitionBy("repo").orderBy("ioc")
-    cut = (
-        wanted.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
-        .groupBy("repo").agg(F.max("ioc").alias("last_ioc"))
-    )
+    top = wanted.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+    cut = top.groupBy("repo").agg(F.max("ioc").alias("last_ioc"))
     marked = salted_left_join(iocs, cut, ["repo"], ["ioc", "source_file"]).withColumn(
         "checked", F.col("ioc") <= F.col("last_ioc"))
-    reports = intel.select(F.col("url").alias("ioc"), "virustotal", "urlhaus", F.lit(True).alias("known"))
+    # only reports that are asked for are offered to the salted join
+    reports = intel.select(F.col("url").alias("ioc"), "virustotal", "urlhaus", F.lit(True).alias("known")).join(
+        top.select("ioc").distinct(), "ioc", "left_semi")
     looked = salted_left_join(marked, reports, ["ioc"], ["repo", "source_file"])
     return looked.select(
         *iocs.columns,

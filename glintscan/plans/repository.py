@@ -18,16 +18,25 @@ STATE_FINDING = [
 STATE_IOC = ["ioc", *detect.SEQUENCE]
 
 
-def scan(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Findings and indicators of ``files(repo, path, name, content)``."""
-    columns = files.select("repo", "path", "name", "content")
-    return detect.hits(spread(within_limit(columns)), rules)
+def scan(files: DataFrame, rules: Sequence[Rule] | None = None, as_read: bool = True) -> DataFrame:
+    """Findings and indicators of ``files(repo, path, name, content)``.
+
+    ``as_read`` says that the files come straight from a source, so that their
+    partitions can be counted and spread without running a join first.
+    """
+    columns = within_limit(files.select("repo", "path", "name", "content"))
+    return detect.hits(spread(columns) if as_read else columns, rules)
 
 
 def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
-    """Files whose content hash is new or different; ``files`` need ``sha``."""
+    """Files whose content hash is new or different; ``files`` need ``sha``.
+
+    The comparison reads keys and hashes only.  Content is then picked by the
+    changed keys, which are broadcast when they turn out to be few.
+    """
     old = state.select("repo", "path", F.col("content_hash").alias("sha"))
-    return files.join(old, ["repo", "path", "sha"], "left_anti")
+    changed = files.select("repo", "path", "sha").join(old, ["repo", "path", "sha"], "left_anti")
+    return files.join(changed, ["repo", "path", "sha"], "left_semi")
 
 
 def unchanged_state(files: DataFrame, state: DataFrame) -> DataFrame:
@@ -36,7 +45,8 @@ def unchanged_state(files: DataFrame, state: DataFrame) -> DataFrame:
     return state.join(now, ["repo", "path", "content_hash"], "left_semi")
 
 
-def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fix: bool = False) -> DataFrame:
+def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fix: bool = False,
+                  as_read: bool = True) -> DataFrame:
     """Scan ``files(repo, path, name, sha, content)`` into state rows.
 
     One row per file with its findings, indicators and dependencies: every
@@ -56,7 +66,7 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
             (F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in STATE_FINDING]).cast(S.FINDING)
 
     # findings and indicators leave the scan together, so the content is scanned once
-    hits = triage.triage(scan(chosen, rules)).withColumn("ioc", F.col("match_content"))
+    hits = triage.triage(scan(chosen, rules, as_read)).withColumn("ioc", F.col("match_content"))
     is_ioc = F.col("row_kind") == "ioc"
     from_hits = part(
         hits.where(is_ioc | (F.col("disposition") != "discard")), "file",
@@ -84,7 +94,9 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
 
 def rescan(files: DataFrame, state: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The next snapshot: unchanged files keep their rows, the others are scanned again."""
-    fresh = scanned_state(changed_files(files, state), rules)
+    if state.isEmpty():
+        return scanned_state(files, rules).select(state.columns)
+    fresh = scanned_state(changed_files(files, state), rules, as_read=False)
     return unchanged_state(files, state).unionByName(fresh)
 
 

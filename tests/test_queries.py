@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
     at = [rel.columns.index(c) for c in cols]
     want = Counter(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
     assert got == want
-    assert got or name in {"hidden_hex"}
+    assert got or name == "high_entropy"  # too few documents at this size
 
 
 def test_entry(spark):
