@@ -31,21 +31,28 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from glintscan.plans import repository
     from workload.corpus import files
     from workload.queries import QUERIES
 
-    lines = files(spark, sf_dir).select(F.sum(F.size(F.split("content", "\n"))).alias("n")).first()["n"]
+    size = files(spark, sf_dir).select(
+        F.sum(F.size(F.split("content", "\n"))).alias("lines"), F.sum(F.octet_length("content")).alias("bytes")).first()
     QUERIES["scan_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # class loading and JIT
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    scan = repository.scan(files(spark, sf_dir))
+    start = time.perf_counter()
+    scan.write.format("noop").mode("overwrite").save()
+    per_core = 1 / (time.perf_counter() - start) / int(cpus)
     found = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": float(found.group(1)) if found else None, "lines": lines,
-        "scan_lines_per_sec_per_core": round(lines / times["scan_summary"] / int(cpus)),
+        "sf": float(found.group(1)) if found else None, "lines": size["lines"], "bytes": size["bytes"],
+        "scan_lines_per_sec_per_core": round(size["lines"] * per_core),
+        "scan_mb_per_sec_per_core": round(size["bytes"] * per_core / 1e6, 2),
     }))
     spark.stop()
 

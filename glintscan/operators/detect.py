@@ -148,11 +148,12 @@ def candidates(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``files(repo, path, name, content)`` → one row per candidate, content dropped."""
     return (
         files.select("repo", "path", "content", X.extension(F.col("name")).alias("ext"))
-        .select("*", X.comment_family(F.col("ext")).alias("family"))
         .select(
-            "repo", "path", "ext",
-            X.file_context(F.col("path")).alias("file_context"),
+            "*", X.comment_family(F.col("ext")).alias("family"), X.file_context(F.col("path")).alias("file_context"),
             X.is_safe_context(F.col("path"), F.col("ext")).alias("safe"),
+        )
+        .select(
+            "repo", "path", "ext", "file_context", "safe",
             F.inline(F.concat(line_candidates(rules), *content_candidates())),
         )
     )
