@@ -44,9 +44,12 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     scan = repository.scan(files(spark, sf_dir))
-    start = time.perf_counter()
-    scan.write.format("noop").mode("overwrite").save()
-    per_core = 1 / (time.perf_counter() - start) / int(cpus)
+    runs = []
+    for _ in range(3):
+        start = time.perf_counter()
+        scan.write.format("noop").mode("overwrite").save()
+        runs.append(time.perf_counter() - start)
+    per_core = 1 / min(runs) / int(cpus)
     found = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

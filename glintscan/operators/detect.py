@@ -206,6 +206,15 @@ def variants(rule: Rule, text: str) -> list[tuple[str, str]]:
     return [(gate + body(pattern), pattern)]
 
 
+def with_prefix(rule: Rule, pattern: str) -> str:
+    """Group 1 is the text since the previous match, group 2 the match.
+
+    Every match starts where the last one ended, so that the rest of a long
+    line is searched once and not again from each of its characters.
+    """
+    return f"{FLAGS}\\G((?s:.*?){K.LEADS.get(rule.id, '')})({pattern})"
+
+
 def line_hits(rules: Sequence[Rule]) -> list[str]:
     """Possible hits of one line: its marker, script keywords, every rule."""
     out = [_case("marker IS NOT NULL", "mark", "", 0, None, None, None, False, NO_TEXTS, "array('')")]
@@ -217,8 +226,7 @@ def line_hits(rules: Sequence[Rule]) -> list[str]:
     for no, rule in enumerate(rules):
         base = K.BASE_CONFIDENCE.get(rule.id, K.DEFAULT_CONFIDENCE)
         for condition, pattern in variants(rule, "txt"):
-            # group 1 is the text since the previous match, group 2 the match
-            wrapped = quote(f"{FLAGS}((?s:.*?){K.LEADS.get(rule.id, '')})({pattern})")
+            wrapped = quote(with_prefix(rule, pattern))
             texts = [f"regexp_extract_all(txt, {wrapped}, {g})" for g in (1, 2)]
             if rule.klass == K.SUSPICIOUS:
                 out.append(_case(f"talks AND {condition}", "finding", "suspicious", no, rule.id,

@@ -62,6 +62,10 @@ def test_gates_are_necessary(spark):
         checks.append(F.count_if(raw & ~F.expr(D.gate_test(r.gate, "txt"))).alias(r.id))
         checks.append(F.count_if(raw & ~union).alias(r.id + " union"))
         checks.append(F.count_if(raw).alias(r.id + " hits"))
+        fast, slow = D.with_prefix(r, r.linear or r.pattern), f"{FLAGS}((?s:.*?))({r.pattern})"
+        for g in (1, 2):
+            both = [F.regexp_extract_all("txt", F.lit(p), F.lit(g)) for p in (fast, slow)]
+            checks.append(F.count_if(both[0] != both[1]).alias(f"{r.id} group {g}"))
     row = df.agg(*checks).first().asDict()
     assert {k: v for k, v in row.items() if not k.endswith("hits") and v} == {}
     assert [k for k, v in row.items() if k.endswith("hits") and not v] == []
@@ -76,7 +80,7 @@ def test_linear_forms_match_the_stated_patterns(spark):
     df = spark.createDataFrame([(x,) for x in lines], "txt string").repartition(8)
     for rule_id in set(K.LINEAR) | set(K.LEADS):
         pattern = K.PATTERNS[rule_id]
-        fast = f"{FLAGS}((?s:.*?){K.LEADS.get(rule_id, '')})({K.LINEAR.get(rule_id, pattern)})"
+        fast = D.with_prefix(Rule(rule_id, pattern), K.LINEAR.get(rule_id, pattern))
         slow = f"{FLAGS}((?s:.*?))({pattern})"
         a = [F.regexp_extract_all("txt", F.lit(fast), F.lit(g)) for g in (1, 2)]
         b = [F.regexp_extract_all("txt", F.lit(slow), F.lit(g)) for g in (1, 2)]
@@ -264,5 +268,7 @@ def test_large_inputs_neither_overflow_nor_hang(scan):
     blob = "https://x.com/a " + "0a1b2c3d" * 120_000
     bundle = "request(a);fetch(b);" * 20_000 + ".then(x)" * 20_000 + "end"
     stars = "=" * 400_000 + " " * 400_000
-    found, _ = scan({"a.js": numbers, "b.js": esc, "c.js": blob, "d.js": bundle, "e.js": stars})
+    tail = "k = ghp_" + "a1B2" * 9 + " " + "word " * 200_000
+    found, _ = scan({"a.js": numbers, "b.js": esc, "c.js": blob, "d.js": bundle, "e.js": stars, "f.py": tail})
+    assert [f.type for f in found if f.file == "f.py"] == ["GitHub Token"]
     assert [f for f in found if f.type == "Hidden IOC (Char Array)"] == []
