@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from glintscan import catalogue as K
-from glintscan.sqltext import FLAGS, blank_trim, contains_any, ends_with_any, lookup, starts_with_any
+from glintscan.sqltext import blank_trim, contains_any, ends_with_any, lookup, starts_with_any
 
 
 def base_name(path: Column) -> Column:

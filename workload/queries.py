@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glintscan import catalogue as K
 from glintscan.catalogue import Rule
 from glintscan.functions import confidence as C, context as X, intel as I, network as N, text as T
 from glintscan.operators import (

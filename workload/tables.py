@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.corpus import DUCK, SPARK, Dialect, files_sql
+from workload.corpus import SPARK, Dialect, files_sql
 
 MANIFEST_TEMPLATES: list[tuple[str, str]] = [
     ("package.json", '{"name": "x", "dependencies": {"@A": "^@V", "@B": "~@W"}, "devDependencies": {"dev-@A": ">=@V", "obj": {"x": 1}}, '
