@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_frequency, mixing, simple8b, token_counts
+from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,11 +37,17 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents")).drop("text_key", "removed")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *number, F.sha2(secret_scan.shown("base"), 256).alias("base_sha256"), secret_scan.shown("spans").alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix, op4_token_files, op5_line_frequency, op8_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op2_mix, op4_token_files, op5_line_frequency, op6_secret_scan, op8_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
