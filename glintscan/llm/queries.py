@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts
+from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts, top_k, toxicity
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,11 +43,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number, F.sha2(secret_scan.shown("base"), 256).alias("base_sha256"), secret_scan.shown("spans").alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN, digests=True)
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix, op4_token_files, op5_line_frequency, op6_secret_scan, op8_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op2_mix, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k)
 }
 ORACLE: dict[str, str] = {}
