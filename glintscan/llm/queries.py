@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts, top_k, toxicity
+from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts, top_k, toxicity, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +29,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive(table(spark, sf_dir, "pages"))
+    page = lambda part: F.get_json_object(f"{part}.fields_json", "$.page-id").cast("long")
+    return captures.select(
+        page("metadata").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), page("original_metadata").alias("refers_to"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(table(spark, sf_dir, "documents"), JSON)
 
@@ -56,6 +64,6 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k)
+    f.__name__: f for f in (op1_token_counts, op2_mix, op3_warc, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k)
 }
 ORACLE: dict[str, str] = {}
