@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_frequency, mixing, secret_scan, simple8b, token_counts, top_k, toxicity, warc
+from . import byte_bpe, line_frequency, mixing, near_dedup, secret_scan, simple8b, token_counts, top_k, toxicity, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,7 +63,11 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix, op3_warc, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k)
+    f.__name__: f for f in (op1_token_counts, op2_mix, op3_warc, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k, op10_near_dedup)
 }
 ORACLE: dict[str, str] = {}
