@@ -118,3 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
                     copies.alias("copies"), (size * copies).alias("taken"))
     kept = [docs[c] for c in docs.columns if c.lower() != out.lower()]
     return joined.select(*kept, made.alias(out))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    rows = mix(docs, out="mix_of_document")
+    return rows.filter("mix_of_document.copies > 0").withColumn("mix_of_document", F.explode(F.sequence(F.lit(1), F.col("mix_of_document.copies")))).drop("mix_of_document")

@@ -328,3 +328,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents that ``deduplicate`` keeps, all columns; of rows that share an id, one (by a hash of the text)."""
+    kept = staged(deduplicate(docs).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")))
+    once = docs.join(kept.filter("rows = 1"), F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    several = kept.filter("rows > 1")
+    if several.isEmpty():
+        return once
+    row = F.struct(*[docs[c] for c in docs.columns])
+    chosen = docs.join(several, F.col("doc_id") == F.col("kept_id"), "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+    return once.unionByName(chosen.select("row.*"))
