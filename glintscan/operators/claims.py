@@ -7,15 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glintscan import catalogue as K
 from glintscan.functions import intel as I
 from glintscan.functions import text as T
-from glintscan.operators.joins import salted_left_join
 from glintscan.sqltext import FLAGS
 
 
+KINDS = ("ip", "url", "hash")
+
+
 def claims(texts: DataFrame) -> DataFrame:
     """``texts(text_id, text)`` → distinct ``(text_id, kind, value)`` named in the text."""
     found = F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("text", F.lit(FLAGS + p), F.lit(0)).alias("values"))
-        for kind, p in [("ip", K.CLAIM_IP), ("url", K.CLAIM_URL), ("hash", K.CLAIM_HASH)]
+        for kind, p in zip(KINDS, (K.CLAIM_IP, K.CLAIM_URL, K.CLAIM_HASH), strict=True)
     ])
     return (
         texts.select("text_id", F.inline(found))
@@ -27,22 +29,22 @@ def unsupported_claims(texts: DataFrame, known: DataFrame) -> DataFrame:
     """Claims that ``known(kind, value)`` does not hold.
 
     URLs and hashes are only checked when there is something of their kind to
-    check against.  A value that many texts name is spread over several tasks.
+    check against.  Spark splits a value that many texts name.
     """
-    kinds = known.select("kind").distinct()
+    kinds = known.where(F.col("kind").isin(*KINDS)).select("kind").distinct()  # three rows at most
     values = known.select("kind", "value", F.lit(True).alias("known")).distinct()
-    checked = salted_left_join(claims(texts), values, ["kind", "value"], ["text_id"]).where("known IS NULL").drop("known")
-    return checked.join(kinds.withColumn("has", F.lit(True)), "kind", "left").where(
+    checked = claims(texts).join(values, ["kind", "value"], "left").where("known IS NULL").drop("known")
+    return checked.join(F.broadcast(kinds.withColumn("has", F.lit(True))), "kind", "left").where(
         (F.col("kind") == "ip") | F.col("has")
     ).drop("has")
 
 
-def annotate(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Texts with the warning appended; it names all addresses, ten URLs, five hashes."""
+def annotate(texts: DataFrame, known: DataFrame, max_urls: int | None = None, max_hashes: int | None = None) -> DataFrame:
+    """Texts with the warning appended; it names every value unless a limit for URLs or hashes is given."""
     values = unsupported_claims(texts, known).groupBy("text_id", "kind").agg(
         F.sort_array(F.collect_set("value")).alias("v")
     )
-    label = {"ip": ("IPs alucinados: ", None), "url": ("URLs alucinadas: ", 10), "hash": ("Hashes alucinados: ", 5)}
+    label = {"ip": ("IPs alucinados: ", None), "url": ("URLs alucinadas: ", max_urls), "hash": ("Hashes alucinados: ", max_hashes)}
     part: Column = F.lit(None).cast("string")
     for kind, (text, n) in label.items():
         shown = F.col("v") if n is None else F.slice("v", 1, n)

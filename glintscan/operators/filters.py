@@ -9,20 +9,17 @@ from glintscan.functions import context as X
 from glintscan.sqltext import contains_any, ends_with_any
 
 
-def list_repository(listing: DataFrame) -> DataFrame:
-    """``listing(repo, path, type, sha)`` → files; at most 5,000 per repository, by path.
+def list_repository(listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """``listing(repo, path, type, sha)`` → files: all of them, or the first ``limit`` of each repository by path.
 
-    The rank filter is applied within each input partition before the shuffle,
-    so a repository of any size sends only its first 5,000 paths per task.
+    A limit sorts each repository in one task; Spark cuts the ranks before the shuffle for limits up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` only.
     """
+    files = listing.where("type = 'blob'").withColumn("name", X.base_name(F.col("path"))).drop("type")
+    if limit is None:
+        return files
     by_path = Window.partitionBy("repo").orderBy("path")
-    return (
-        listing.where("type = 'blob'")
-        .withColumn("name", X.base_name(F.col("path")))
-        .withColumn("nth", F.row_number().over(by_path))
-        .where(F.col("nth") <= K.MAX_FILES_PER_REPO)
-        .drop("nth", "type")
-    )
+    return files.withColumn("nth", F.row_number().over(by_path)).where(F.col("nth") <= limit).drop("nth")
 
 
 def _names(names: list[str], case_fix: bool) -> list[str]:

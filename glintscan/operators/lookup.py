@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glintscan import catalogue as K
-from glintscan.operators.joins import salted_left_join
 from glintscan.sqltext import literal_table
 
 
@@ -19,7 +18,7 @@ def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> D
     """``advisories(ecosystem, name, versions, id)`` → findings, one per dependency and kind.
 
     Distinct packages are looked up once; a dependency without a version meets
-    every advisory of its package.  Popular packages are spread when the
+    every advisory of its package.  Spark splits popular packages when the
     result goes back to the rows that use them.
     """
     deps = with_ecosystem(dependencies).select("repo", "manifest", "ecosystem", "name", "version").distinct()
@@ -46,8 +45,7 @@ def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> D
         kind("Dependencia vulneravel", "Vulnerable Dependency", "vul"),
     )
     return (
-        salted_left_join(deps, found, ["ecosystem", "name", "version"], ["repo", "manifest"])
-        .where("mal IS NOT NULL")
+        deps.join(found, ["ecosystem", "name", "version"])
         .select("repo", F.col("manifest").alias("file"), F.inline(F.filter(findings, lambda f: f.isNotNull())))
         .distinct()
     )
@@ -57,33 +55,43 @@ SKIPPED = "Ignorado (Limite de Performance)"
 FAILED = "Falha na verificacao"
 
 
-def ioc_reputation(iocs: DataFrame, intel: DataFrame, limit: int = K.MAX_IOC_CHECKS) -> DataFrame:
+def one_report(reports: DataFrame, key: str, latest_by: str | None = None) -> DataFrame:
+    """One row per ``key``: the report with the greatest ``latest_by``, or of equal standing the greatest JSON text."""
+    values = [c for c in reports.columns if c not in (key, latest_by)]
+    rank = F.struct(*([latest_by] if latest_by else []), *[F.to_json(F.col(c)).alias(f"j{i}") for i, c in enumerate(values)])
+    best = reports.groupBy(key).agg(F.max_by(F.struct(*values), rank).alias("r"))
+    return best.select(key, "r.*")
+
+
+def ioc_reputation(iocs: DataFrame, intel: DataFrame, limit: int | None = None, latest_by: str | None = None) -> DataFrame:
     """Adds ``virustotal``, ``urlhaus`` and ``lookup`` to every indicator row.
 
-    The first ``limit`` distinct indicators of each repository are looked up;
-    only the last of them is carried back, so no repository is gathered whole.
-    ``lookup`` is ``ok``, ``missing`` (no report) or the text for skipped rows.
+    ``lookup`` is ``ok``, ``missing`` (no report), the text for failed look-ups (a report row whose sources are both
+    null), or the text for skipped rows.  Nothing is skipped unless ``limit`` is given: then only the first
+    ``limit`` distinct indicators of each repository count, and the last of them is carried back, so no repository is gathered whole.
+    Of several reports on one indicator, ``one_report`` chooses.
     """
-    wanted = iocs.select("repo", "ioc").distinct()
-    first = Window.partitionBy("repo").orderBy("ioc")
-    top = wanted.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
-    cut = top.groupBy("repo").agg(F.max("ioc").alias("last_ioc"))
-    marked = salted_left_join(iocs, cut, ["repo"], ["ioc", "source_file"]).withColumn(
-        "checked", F.col("ioc") <= F.col("last_ioc"))
-    # only reports that are asked for are offered to the salted join
-    reports = intel.select(F.col("url").alias("ioc"), "virustotal", "urlhaus", F.lit(True).alias("known")).join(
-        top.select("ioc").distinct(), "ioc", "left_semi")
-    looked = salted_left_join(marked, reports, ["ioc"], ["repo", "source_file"])
+    columns = ["url", "virustotal", "urlhaus", *([latest_by] if latest_by else [])]
+    reports = one_report(intel.select(*columns), "url", latest_by).withColumnRenamed("url", "ioc").withColumn("known", F.lit(True))
+    checked = F.lit(True)
+    marked = iocs
+    if limit is not None:
+        first = Window.partitionBy("repo").orderBy("ioc")
+        top = iocs.select("repo", "ioc").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+        marked = iocs.join(top.groupBy("repo").agg(F.max("ioc").alias("last_ioc")), "repo", "left")
+        checked = F.col("ioc") <= F.col("last_ioc")
+    looked = marked.join(reports, "ioc", "left")
+    failed = F.col("virustotal").isNull() & F.col("urlhaus").isNull()
     return looked.select(
         *iocs.columns,
-        F.when(F.col("checked"), F.col("virustotal")).alias("virustotal"),
-        F.when(F.col("checked"), F.col("urlhaus")).alias("urlhaus"),
-        F.when(~F.col("checked"), SKIPPED).when(F.col("known"), "ok").otherwise("missing").alias("lookup"),
+        F.when(checked, F.col("virustotal")).alias("virustotal"),
+        F.when(checked, F.col("urlhaus")).alias("urlhaus"),
+        F.when(~checked, SKIPPED).when(F.col("known") & failed, FAILED).when(F.col("known"), "ok").otherwise("missing").alias("lookup"),
     )
 
 
-def ioc_limit_notes(iocs: DataFrame, limit: int = K.MAX_IOC_CHECKS) -> DataFrame:
-    """One finding for every repository with more distinct indicators than are looked up."""
+def ioc_limit_notes(iocs: DataFrame, limit: int) -> DataFrame:
+    """One finding for every repository with more distinct indicators than ``limit``, where a caller sets one."""
     n = F.col("n").cast("string")
     return (
         iocs.select("repo", "ioc").distinct().groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > limit)
@@ -101,8 +109,8 @@ def distinct_ioc_counts(iocs: DataFrame) -> DataFrame:
 
 
 def merge_sources(targets: DataFrame, key: str, sources: dict[str, DataFrame]) -> DataFrame:
-    """One column per source; ``sources[name]`` is ``(key, report)``, a missing report is NULL."""
+    """One column per source; ``sources[name]`` is ``(key, report)``, a missing report is NULL, of several one counts."""
     out = targets
     for name, reports in sources.items():
-        out = out.join(reports.select(key, F.col("report").alias(name)), key, "left")
+        out = out.join(one_report(reports.select(key, F.col("report").alias(name)), key), key, "left")
     return out

@@ -226,6 +226,12 @@ def merged_dependencies(deps: DataFrame) -> DataFrame:
     return deps.select("repo", "manifest", "name", "version").distinct()
 
 
+def ordered_dependencies(deps: DataFrame) -> DataFrame:
+    """Adds ``position``: the place by name and version within the manifest kind of a repository."""
+    order = Window.partitionBy("repo", "manifest").orderBy("name", "version")
+    return deps.select("repo", "manifest", F.row_number().over(order).cast("long").alias("position"), "name", "version")
+
+
 def hook_findings() -> Column:
     """Findings of one script row: a lifecycle script, and a download piped into a shell."""
     hook = F.when(F.col("name").isin(K.NPM_LIFECYCLE_HOOKS), F.struct(

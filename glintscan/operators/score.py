@@ -51,11 +51,8 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
 
 def severity_type_counts(findings: DataFrame) -> DataFrame:
     """Counts by severity and counts by type in one pass."""
-    findings.createOrReplaceTempView("_counted_findings")
-    return findings.sparkSession.sql("""
-        SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' ELSE 'type' END AS kind,
-               coalesce(severity, type) AS value, count(*) AS n
-        FROM _counted_findings GROUP BY GROUPING SETS ((severity), (type))""")
+    value, kind = F.coalesce("severity", "type").alias("value"), F.when(F.grouping("severity") == 0, "severity").otherwise("type").alias("kind")
+    return findings.groupingSets([["severity"], ["type"]], "severity", "type").agg(kind, F.count("*").alias("n")).select("kind", value, "n")
 
 
 def report_metadata(repos: DataFrame, findings: DataFrame, others: list[DataFrame] = ()) -> DataFrame:

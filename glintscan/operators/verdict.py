@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glintscan import catalogue as K
 from glintscan.functions import confidence as C
-from glintscan.operators.joins import salted_left_join
 
 RANK = ["file", "stage", "line_no", "pos", "rule_no", "match_no", "type", "description"]
 
@@ -29,37 +27,39 @@ def parse_verdict(payload: Column) -> Column:
     )
 
 
-def with_rank_cut(candidates: DataFrame, limit: int = K.MAX_VERDICT_CHECKS) -> DataFrame:
-    """Adds ``checked`` (among the first ``limit`` of its repository) and ``total``.
-
-    Only the first ``limit`` ranks per task are shuffled to find the last rank
-    that is still checked; every candidate is then compared with it.
-    """
+def with_rank_cut(candidates: DataFrame, limit: int) -> DataFrame:
+    """Adds ``checked`` (among the first ``limit`` of its repository) and ``total``; every candidate is compared with the last such rank."""
     rank = F.struct(*[c for c in RANK if c in candidates.columns])
-    ranked = candidates.select("repo", rank.alias("rank"))
     first = (
-        ranked.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy("rank")))
+        candidates.select("repo", rank.alias("rank"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy("rank")))
         .where(F.col("nth") <= limit)
         .groupBy("repo").agg(F.max("rank").alias("last_rank"))
     )
-    sizes = candidates.groupBy("repo").agg(F.count("*").alias("total"))
-    cut = sizes.join(first, "repo")
-    joined = salted_left_join(candidates, cut, ["repo"], ["file", "type", "description"])
-    return joined.withColumn("checked", rank <= F.col("last_rank")).drop("last_rank")
+    cut = candidates.groupBy("repo").agg(F.count("*").alias("total")).join(first, "repo")
+    return candidates.join(cut, "repo", "left").withColumn("checked", rank <= F.col("last_rank")).drop("last_rank")
+
+
+def answers_by_candidate(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """One answer per key: the one with the highest score, so that a confirmation is never lost to another answer."""
+    v = parse_verdict(F.col("payload"))
+    best = F.max_by(F.col("v"), F.struct(F.col("v.score"), F.col("v.verdict")))
+    return verdicts.withColumn("v", v).groupBy(*keys).agg(best.alias("v"), F.count("*").alias("answers"))
 
 
 def _has(c: Column, *words: str) -> Column:
     return F.rlike(c, F.lit("|".join(words)))
 
 
-def apply_verdicts(candidates: DataFrame, verdicts: DataFrame | None, limit: int = K.MAX_VERDICT_CHECKS) -> DataFrame:
+def apply_verdicts(candidates: DataFrame, verdicts: DataFrame | None, limit: int | None = None) -> DataFrame:
     """Candidates → findings ``(repo, severity, description, file, type)``.
 
-    ``verdicts(repo, file, type, payload)`` holds the answers; without any, the
-    checked candidates stay as weak findings.  Candidates beyond the limit ask
-    for a manual check, and their repository gets one note about it.
+    ``verdicts`` holds a ``payload`` for ``repo``, ``file``, ``type`` and any of the columns of ``RANK`` that tell candidates
+    of one file and type apart: each candidate gets the answer to itself.  Without any verdicts, the checked candidates stay as weak
+    findings.  All are checked unless ``limit`` is given: then candidates beyond it ask for a manual check, and
+    their repository gets one note about it.
     """
-    ranked = with_rank_cut(candidates, limit)
+    ranked = with_rank_cut(candidates, limit) if limit is not None else candidates.withColumn("checked", F.lit(True))
     ftype, text = F.col("type"), F.col("description")
     unverified = F.concat(F.lit("UNVERIFIED ("), ftype, F.lit(")"))
 
@@ -73,8 +73,9 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame | None, limit: int
     if verdicts is None:
         out = F.when(~F.col("checked"), manual).otherwise(finding(F.lit("LOW"), text, ftype))
     else:
-        answers = verdicts.groupBy("repo", "file", "type").agg(F.min("payload").alias("payload"))
-        ranked = ranked.join(answers, ["repo", "file", "type"], "left").withColumn("v", parse_verdict(F.col("payload")))
+        keys = ["repo", "file", "type", *[c for c in RANK if c not in ("file", "type") and c in verdicts.columns and c in candidates.columns]]
+        ranked = ranked.join(answers_by_candidate(verdicts, keys), keys, "left").withColumn(
+            "v", F.coalesce("v", parse_verdict(F.lit(None).cast("string"))))
         out = (
             F.when(~F.col("checked"), manual)
             .when(F.col("v.verdict") == "REAL", finding(
@@ -84,6 +85,8 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame | None, limit: int
                 F.lit("MEDIUM"), F.concat(F.lit("[IA Inconclusiva] "), text), unverified))
         )
     judged = ranked.select("repo", out.alias("f")).where("f IS NOT NULL").select("repo", "f.*")
+    if limit is None:
+        return judged.dropDuplicates(["repo", "type", "file", "description"])
     over = candidates.groupBy("repo").agg(F.count("*").alias("total")).where(F.col("total") > limit)
     note = over.select(
         "repo", F.lit("MEDIUM").alias("severity"),

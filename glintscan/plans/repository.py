@@ -10,7 +10,6 @@ from glintscan.catalogue import Rule
 from glintscan.operators import correlate, dedup, detect, filters, lookup, manifests, score, triage, verdict
 from glintscan.sources import state as S
 from glintscan.sources.files import within_limit
-from glintscan.sources.staging import spread
 
 STATE_FINDING = [
     "type", "description", "match_content", "confidence", "file_context", "severity", "disposition", *detect.SEQUENCE,
@@ -18,14 +17,15 @@ STATE_FINDING = [
 STATE_IOC = ["ioc", *detect.SEQUENCE]
 
 
-def scan(files: DataFrame, rules: Sequence[Rule] | None = None, as_read: bool = True) -> DataFrame:
-    """Findings and indicators of ``files(repo, path, name, content)``.
+def scan(files: DataFrame, rules: Sequence[Rule] | None = None, partitions: int | None = None,
+         max_bytes: int | None = None) -> DataFrame:
+    """Findings and indicators of ``files(repo, path, name, content)``, all of them unless ``max_bytes`` is given.
 
-    ``as_read`` says that the files come straight from a source, so that their
-    partitions can be counted and spread without running a join first.
+    The files are scanned in the partitions they come in.  ``partitions`` deals their content out anew, which pays for a
+    small input in a few large pieces; ``sources.files.oversized`` lists what a size limit leaves out.
     """
-    columns = within_limit(files.select("repo", "path", "name", "content"))
-    return detect.hits(spread(columns) if as_read else columns, rules)
+    columns = within_limit(files.select("repo", "path", "name", "content"), max_bytes)
+    return detect.hits(columns if partitions is None else columns.repartition(partitions, "repo", "path"), rules)
 
 
 def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def unchanged_state(files: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fix: bool = False,
-                  as_read: bool = True) -> DataFrame:
+                  severity: dict[str, str] | None = None) -> DataFrame:
     """Scan ``files(repo, path, name, sha, content)`` into state rows.
 
     One row per file with its findings, indicators and dependencies: every
@@ -66,7 +66,7 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
             (F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in STATE_FINDING]).cast(S.FINDING)
 
     # findings and indicators leave the scan together, so the content is scanned once
-    hits = triage.triage(scan(chosen, rules, as_read)).withColumn("ioc", F.col("match_content"))
+    hits = triage.triage(scan(chosen, rules), severity).withColumn("ioc", F.col("match_content"))
     is_ioc = F.col("row_kind") == "ioc"
     from_hits = part(
         hits.where(is_ioc | (F.col("disposition") != "discard")), "file",
@@ -94,9 +94,7 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
 
 def rescan(files: DataFrame, state: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The next snapshot: unchanged files keep their rows, the others are scanned again."""
-    if state.isEmpty():
-        return scanned_state(files, rules).select(state.columns)
-    fresh = scanned_state(changed_files(files, state), rules, as_read=False)
+    fresh = scanned_state(changed_files(files, state), rules)
     return unchanged_state(files, state).unionByName(fresh)
 
 
@@ -128,7 +126,6 @@ def analyse(state: DataFrame, advisories: DataFrame | None = None, intel: DataFr
     if advisories is not None:
         extra.append(lookup.vulnerable_dependencies(deps, advisories))
     if intel is not None:
-        extra.append(lookup.ioc_limit_notes(iocs))
         iocs = lookup.ioc_reputation(iocs, intel)
     findings = base
     for e in extra:

@@ -1,38 +1,18 @@
-"""Spreading small inputs and keeping intermediate results."""
+"""Keeping intermediate results in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(files: DataFrame, keys: tuple[str, ...] = ("repo", "path")) -> DataFrame:
-    """Give every core work when the input has fewer partitions than the cluster has cores.
-
-    A large input is left as it is read: its content is never shuffled.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= cores:
-        return files
-    return files.repartition(2 * cores, *keys)
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="glintscan-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ SCHEMA = (
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The last snapshot, pruned by ``repo``; empty when there is none."""
+    """The last snapshot; empty when there is none at ``path``, and an error for anything else that is wrong with it."""
     try:
         return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.sql("SELECT * FROM VALUES (1) AS t(x) WHERE false").select(
             *[F.lit(None).cast(t).alias(n) for n, t in [
                 ("path", "string"), ("content_hash", "string"), ("findings", f"array<{FINDING}>"),
@@ -30,10 +32,9 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    """Replace the snapshot of the repositories in ``state``, each as one partition.
+    """Write a whole snapshot; to a new path when ``state`` was computed from the old one.
 
-    Write to a new path when ``state`` was computed from the old snapshot.
+    Files follow the partitions of ``state``, which is grouped by (repo, path): a large repository is spread over
+    all of them and small ones share them.  Sorting lets readers skip row groups by ``repo``.
     """
-    (
-        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
-    )
+    state.sortWithinPartitions("repo", "path").write.mode("overwrite").parquet(path)

@@ -79,7 +79,8 @@ def test_listing(spark):
     assert {r.name for r in filters.list_repository(df).collect()} == {"main.py", "README.md"}
     many = spark.range(6000).select(F.lit("big").alias("repo"), F.format_string("f%05d", "id").alias("path"), F.lit("blob").alias("type"), F.lit("h").alias("sha"))
     kept = filters.list_repository(many.union(df))
-    assert kept.where("repo = 'big'").agg(F.count("*"), F.max("path")).first()[0:2] == (5000, "f04999")
+    assert kept.where("repo = 'big'").count() == 6000
+    assert filters.list_repository(many.union(df), 5000).where("repo = 'big'").agg(F.count("*"), F.max("path")).first()[0:2] == (5000, "f04999")
 
 
 def test_manifests(spark, files):
@@ -143,6 +144,35 @@ def test_reputation_limit_against_brute_force(spark):
     assert {n.repo for n in notes} == {"r", "s"} and all(n.type == "Performance Limit" for n in notes)
 
 
+def test_reports_are_one_per_key_and_may_have_failed(spark):
+    iocs = spark.createDataFrame([("r", f"http://u{k}", "f") for k in range(80)], "repo string, ioc string, source_file string")
+    intel = spark.createDataFrame([(f"http://u{k}", '{"a": 1}' if k % 2 else None) for k in range(80)] + [("http://u1", '{"a": 2}')], "url string, v string").selectExpr(
+        "url", "parse_json(v) AS virustotal", "parse_json(NULL) AS urlhaus")
+    rows = lookup.ioc_reputation(iocs, intel).selectExpr("ioc", "lookup", "to_json(virustotal) AS v").collect()
+    assert len(rows) == 80 and {r.ioc: r.lookup for r in rows} == {f"http://u{k}": "ok" if k % 2 else lookup.FAILED for k in range(80)}
+    assert next(r.v for r in rows if r.ioc == "http://u1") == '{"a":2}'
+    merged = lookup.merge_sources(iocs, "ioc", {"virustotal": intel.selectExpr("url AS ioc", "virustotal AS report")})
+    assert merged.count() == 80
+
+
+def test_every_candidate_has_its_own_verdict(spark):
+    cands = spark.createDataFrame([("r", "T", f"d{i}", "f", i) for i in range(80)], "repo string, type string, description string, file string, pos int")
+    verdicts = spark.createDataFrame([("r", "f", "T", i, '{"score": %s}' % ("0.9" if i < 70 else "0.1")) for i in range(80)] + [("r", "f", "T", 0, '{"score": 0.1}')],
+                                     "repo string, file string, type string, pos int, payload string")
+    got = {r.description for r in verdict.apply_verdicts(cands, verdicts).collect()}
+    assert got == {f"[IA Confirmou] d{i}" for i in range(70)}
+    shared = verdict.apply_verdicts(cands.limit(1), verdicts.drop("pos")).collect()
+    assert [r.description for r in shared] == ["[IA Confirmou] d0"]
+
+
+def test_discarded_findings_lend_no_weight(spark):
+    kept = findings(spark, ("a", "High Entropy String", "d", "f", "LOW", 0.8))
+    iocs = spark.createDataFrame([("a", "http://x", "f")], "repo string, ioc string, source_file string")
+    assert correlate.correlate(kept, iocs).first().severity == "LOW"
+    both = kept.union(findings(spark, ("a", "Suspicious JS Keyword", "e", "f", "LOW", 0.8)))
+    assert {r.severity for r in correlate.correlate(both, iocs).collect()} == {"HIGH"}
+
+
 def test_verdicts(spark):
     payloads = ['{"score": 0.6}', 'x {"score": 0.3} y', '{"score": 0.5}', '{"score": 7}', '{"score": "0.9"}', '{"score": null}', '{"status": "real"}',
                 '{"status": "FALSO"}', '{"a": 1}', "none", "{bad}", None]

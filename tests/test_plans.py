@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from glintscan.plans import indicators, reports, repository
@@ -61,6 +62,8 @@ def test_directory_tree(spark, tmp_path):
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(data)
     listed = src.scannable_files(spark, str(tmp_path))
+    assert "big.txt" in {r.path for r in listed.select("path").collect()}
+    listed = src.scannable_files(spark, str(tmp_path), max_bytes=1_048_576)
     # Spark's file listing leaves out names that start with a dot or an underscore, hence no .env
     assert {r.path for r in listed.select("path").collect()} == {"src/a.py", "bad.txt", "env.py"}
     plan = listed._jdf.queryExecution().executedPlan().toString()
@@ -95,11 +98,23 @@ def test_rules_and_lines_from_files(spark, tmp_path):
     assert kinds == {"ip", "rejected"}
 
 
-def test_small_inputs_are_spread_and_large_ones_are_not(spark):
-    df = spark.createDataFrame(ROWS, SCHEMA).coalesce(1)
-    assert staging.spread(df).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    wide = df.repartition(32)
-    assert staging.spread(wide) is wide
+def test_content_is_dealt_out_and_limited_only_on_demand(spark):
+    from glintscan.sources import files as src_files
+
+    line = "key = AKIA" + "A1B2C3D4E5F6G7H8\n"
+    df = spark.createDataFrame([("r", "big.py", "big.py", "h", "x = 1\n" * 500_000 + line), ("r", "a.py", "a.py", "h", line)], SCHEMA).coalesce(1)
+    assert {r.file for r in repository.scan(df).collect()} == {"big.py", "a.py"}
+    assert {r.file for r in repository.scan(df, partitions=3).collect()} == {"big.py", "a.py"}
+    assert {r.file for r in repository.scan(df, max_bytes=1 << 20).collect()} == {"a.py"}
+    assert [r.path for r in src_files.oversized(df, 1 << 20).collect()] == ["big.py"]
+
+
+def test_a_wrong_state_is_not_a_first_run(spark, tmp_path):
+    from glintscan.sources import state
+
+    assert state.read_state(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        state.read_state(spark, "nosuchscheme://x/y").count()
 
 
 def test_scan_plan_moves_no_content(spark, tmp_path):

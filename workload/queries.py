@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +13,8 @@ from glintscan.operators import (
     claims, correlate, dedup, detect, filters, lines, lookup, manifests, score, triage, verdict,
 )
 from glintscan.plans import reports, repository
-from glintscan.sources import files as src_files, targets
-from glintscan.sources.staging import stage
+from glintscan.sources import files as src_files, state, targets
+from glintscan.sources.staging import shared_folder
 from workload import tables as W
 from workload.corpus import SPARK, files, load
 
@@ -46,7 +47,9 @@ def detail(df: DataFrame) -> DataFrame:
 
 
 def scanned(spark, sf) -> DataFrame:
-    return repository.scan(files(spark, sf))
+    """``glintscan.scan.partitions`` deals a small corpus out over the cores; a large one is scanned as it is read."""
+    partitions = spark.conf.get("glintscan.scan.partitions", None)
+    return repository.scan(files(spark, sf), partitions=int(partitions) if partitions else None)
 
 
 def triaged(spark, sf) -> DataFrame:
@@ -58,12 +61,11 @@ def accepted(spark, sf) -> DataFrame:
 
 
 def candidates(spark, sf) -> DataFrame:
-    """Kept on disk: the rank cut reads them more than once."""
-    return stage(triage.review_candidates(triaged(spark, sf)))
+    return triage.review_candidates(triaged(spark, sf))
 
 
 def indicators(spark, sf) -> DataFrame:
-    return stage(detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file"))
+    return detect.iocs_of(scanned(spark, sf)).select("repo", "ioc", "source_file")
 
 
 def as_reports(df: DataFrame, *names: str) -> DataFrame:
@@ -212,11 +214,10 @@ def risk_score(spark, sf):
 
 @query
 def correlated_findings(spark, sf):
-    """Scan once: findings and indicators meet in the window by file."""
-    hits = triage.triage(scanned(spark, sf)).withColumn("correlated", F.lit(None).cast("boolean"))
-    is_ioc = F.col("row_kind") == "ioc"
-    marked = correlate.mark_correlated(hits, is_ioc)
-    return marked.where(~is_ioc & (F.col("disposition") != "discard")).select(
+    """Findings that triage accepted or a verdict kept; discarded and unreviewed hits lend no weight."""
+    judged = verdict.apply_verdicts(candidates(spark, sf), table(spark, sf, W.verdicts_sql(SPARK)))
+    kept = accepted(spark, sf).unionByName(judged, allowMissingColumns=True)
+    return correlate.correlate(kept, indicators(spark, sf)).select(
         "repo", "file", "type", "description", "severity", "correlated", "line_no", "match_no")
 
 
@@ -262,7 +263,7 @@ def dependencies_merged(spark, sf):
 
 @query
 def vulnerable_deps(spark, sf):
-    deps = stage(manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf))))
+    deps = manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf)))
     return lookup.vulnerable_dependencies(deps, table(spark, sf, W.advisories_sql(SPARK)))
 
 
@@ -369,9 +370,9 @@ def repo_summary_report(spark, sf):
 
 @query
 def findings_report(spark, sf):
-    """Only serious findings, so that some repositories have none."""
-    serious = stage(accepted(spark, sf).where("type IN ('JNDI Injection', 'Private Key')"))
-    return reports.repo_findings(files(spark, sf), serious)
+    """All accepted findings; every repository has a twin without any."""
+    repos = files(spark, sf).select(F.explode(F.array("repo", F.concat("repo", F.lit("-clean")))).alias("repo"))
+    return reports.repo_findings(repos, accepted(spark, sf))
 
 
 @query
@@ -386,7 +387,7 @@ def report_metadata(spark, sf):
 
 @query
 def repository_facts(spark, sf):
-    hits = stage(scanned(spark, sf))
+    hits = scanned(spark, sf)
     found = triage.accepted(triage.triage(detect.findings_of(hits)))
     iocs = lookup.ioc_reputation(detect.iocs_of(hits).select("repo", "ioc", "source_file"), url_intel(spark, sf))
     scores = score.risk_scores(dedup.deduplicate(found), files(spark, sf))
@@ -399,6 +400,38 @@ def triage_facts(spark, sf):
         F.col("severity"), F.col("type"), F.col("file"), F.col("description")).alias("fact"))
 
 
+@query
+def ip_facts(spark, sf):
+    intel = as_reports(table(spark, sf, W.ip_intel_sql(SPARK)), "vt", "abuse")
+    sources = {n: intel.select("ip", F.col(c).alias("report")) for n, c in [("virustotal", "vt"), ("abuseipdb", "abuse")]}
+    return claims.ip_facts(lookup.merge_sources(quads(spark, sf), "ip", sources))
+
+
+@query
+def ordered_findings(spark, sf):
+    """Accepted findings in the order of a report, the rank of the severity with them; a range sort, no single task."""
+    found = score.ordered_findings(accepted(spark, sf))
+    return found.select(score.severity_rank(F.col("severity")).cast("int").alias("rank"), "repo", "severity", "type", "file", "description")
+
+
+@query
+def ordered_dependencies(spark, sf):
+    deps = manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf)))
+    return manifests.ordered_dependencies(deps)
+
+
+@query
+def state_round_trip(spark, sf):
+    """The scan state of the corpus as a written and read snapshot: per file its hash and how much was found."""
+    corpus = files(spark, sf)
+    now = repository.scanned_state(corpus.select("repo", "path", "name", F.sha2("content", 256).alias("sha"), "content"))
+    path = f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state.write_state(now, path)
+    read = state.read_state(spark, path)
+    return read.select("repo", "path", "content_hash", F.size(F.filter("findings", lambda f: f["disposition"] == "accept")).alias("accepted"),
+                       F.size("iocs").alias("iocs"))
+
+
 @query
 def url_facts(spark, sf):
     return claims.url_facts(reported_urls(spark, sf))

@@ -99,14 +99,16 @@ def repo_lines_sql(d: Dialect) -> str:
 
 
 def verdicts_sql(d: Dialect) -> str:
-    """Answers per file and type: scores, legacy status, broken text, none."""
+    """Answers per file and type: scores, legacy status, broken text, none; every seventh has a second answer."""
     score = "CAST((doc_id % 11) AS DOUBLE) / 10"
     types = ["Generic API Key", "Suspicious Command", "JSON Web Token (JWT)", "Password in URL", "Hidden IOC (Hex)", "High Entropy String"]
     each = ("explode(array({0}))" if d is SPARK else "unnest([{0}])").format(", ".join(d.text(t) for t in types))
-    return f"""SELECT repo, path AS file, type, CASE doc_id % 10
+    second = "explode(array(0, 1))" if d is SPARK else "unnest([0, 1])"
+    return f"""SELECT repo, file, type, CASE WHEN again = 1 THEN '{{"score": 0.7}}' ELSE payload END AS payload FROM (
+SELECT repo, path AS file, type, doc_id, {second} AS again, CASE doc_id % 10
     WHEN 0 THEN 'no json here' WHEN 1 THEN 'Sure: {{"status": "real"}} ok' WHEN 2 THEN '{{"status": "FALSO"}}' WHEN 3 THEN '{{"score": "x"}}'
     ELSE 'A {{"score": ' || CAST({score} AS VARCHAR(10)) || '}} B' END AS payload
-FROM (SELECT repo, path, doc_id, {each} AS type FROM ({files_sql(d)}) AS f1 WHERE doc_id % 13 <> 12) AS v0"""
+FROM (SELECT repo, path, doc_id, {each} AS type FROM ({files_sql(d)}) AS f1 WHERE doc_id % 13 <> 12) AS v0) AS v1 WHERE again = 0 OR doc_id % 7 = 0"""
 
 
 def state_sql(d: Dialect) -> str:
