@@ -1,0 +1,287 @@
+"""Mixing, quality rules, secrets, toxicity and near-duplicates against brute force."""
+
+import collections
+import random
+import re
+import string
+
+import numpy as np
+import pytest
+
+from glintscan.llm import components, line_frequency, mixing, near_dedup, secret_scan, toxicity
+
+DOCS = "doc_id long, source string, text string"
+
+
+# --- mixing ------------------------------------------------------------------------
+def reshared(sizes):
+    """Targets by repeated sharing, as the text of the rule says."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    left = 1.5 * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not above:
+            return target | {s: left * weight[s] / total for s in open_}
+        for s in above:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= above
+    return target
+
+
+def test_mix(table):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", "d", "é", None]), "w " * rng.randint(0, 40)) for i in range(3_000)]
+    rows += [(10_000, "a", "big " * 2_000), (10_001, "empty", None), (10_002, "empty", " "), (None, "b", "x y"), (None, "b", "x y"), (10_003, "one", "single text here")]
+    df = table(rows, DOCS)
+    got = mixing.mix(df).select("doc_id", "source", "mix.*").collect()
+    again = mixing.mix(df.repartition(7)).select("doc_id", "source", "mix.*").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str) and len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, s, t in rows:
+        sizes[s] += len((t or "").split())
+    want = reshared(dict(sizes))
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+    largest = {s: max(len((t or "").split()) for _, x, t in rows if x == s) for s in sizes}
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
+    assert mixing.mix(df.limit(0)).collect() == []
+    assert mixing.mixed(df).count() == sum(r.copies for r in got)
+
+
+def test_mixes_are_nested(table):
+    df = table([(i, "a", "w " * (i % 9)) for i in range(500)] + [(i, "b", "w w") for i in range(500, 900)], DOCS)
+    small, large = ({r.doc_id for r in mixing.mix(df, share=s, max_repeats=1).filter("mix.copies > 0 AND mix.size > 0").collect()} for s in (0.3, 0.6))
+    assert small < large
+
+
+# --- quality rules -----------------------------------------------------------------
+def facts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i:i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def plain_judge(rows, max_docs, min_left):
+    def norm(line):
+        return " ".join(re.sub("[1-9]", "0", line.lower()).split())
+
+    holders = collections.defaultdict(dict)
+    for i, s, t in rows:
+        for line in (t or "").split("\n"):
+            if norm(line):
+                old = holders[s, norm(line)].get(t)
+                holders[s, norm(line)][t] = i if old is None else old if i is None else min(i, old)
+    out = []
+    for i, s, t in rows:
+        n, *rest = facts(t)
+        gone = 0
+        for line in (t or "").split("\n"):
+            h = holders.get((s, norm(line)), {})
+            if norm(line) and len(h) > max_docs and min(h, key=lambda x: (h[x] is not None, h[x])) != t:
+                gone += len(line.split())
+        failed = n < 50 or 100 * rest[3] > 50 * n
+        out.append((i, n, *rest, failed, gone, not failed and n - gone >= min_left * n))
+    return sorted(out, key=str)
+
+
+def test_quality(table):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    common = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(60):
+        own = "\n".join(" ".join(word() for _ in range(10)) for _ in range(rng.choice([1, 2, 9])))
+        rows.append((i, rng.choice(["h", "h", None]), rng.choice([common.upper() + "  ", common, ""]) + "\n" + own + "\nPage %d" % i))
+    rows += [(100, "h", None), (101, "h", ""), (102, "h", "a b c " * 40), (None, "h", common + "\nx"), (103, "h", rows[0][2]), (103, "h", rows[0][2]), (104, "h", "é%| #" * 30)]
+    df = table(rows, DOCS)
+    got = line_frequency.judge(df, max_docs=5)
+    mine = sorted([(r.doc_id, *(r[n] for n in line_frequency.NAMES), r.base_failed, r.removed_words, r.kept) for r in got.collect()], key=str)
+    assert mine == plain_judge(rows, 5, line_frequency.MIN_LEFT)
+    assert sum(not r[-1] and not r[-3] for r in mine) > 3
+    cleaned = line_frequency.clean(df, max_docs=5)
+    assert cleaned.columns == df.columns and sorted(r.doc_id for r in cleaned.collect() if r.doc_id is not None) == sorted(r[0] for r in mine if r[-1] and r[0] is not None)
+    shorter = {r.doc_id: r.text for r in cleaned.collect()}
+    assert all(len(shorter[r[0]].split()) == r[1] - r[-2] for r in mine if r[-1] and r[0] is not None)
+    assert line_frequency.judge(df.limit(0)).collect() == [] and line_frequency.clean(df.limit(0)).collect() == []
+
+
+def test_facts_of_long_texts():
+    text = " ".join(str(i % 1_700) for i in range(60_000)) + "\n" + "é " * 10
+    got = line_frequency.text_facts(text)[:5]
+    old, line_frequency.SLICE = line_frequency.SLICE, 1_000
+    try:
+        assert line_frequency.text_facts(text)[:5] == got == facts(text)
+    finally:
+        line_frequency.SLICE = old
+
+
+# --- secrets -----------------------------------------------------------------------
+def plain_spans(text):
+    out = []
+    for m in re.finditer(r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:w|W)(?:(?:o|O)(?:r|R)(?:d|D)|(?:d|D))|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    return sorted(out)
+
+
+def test_secrets(table):
+    rng = random.Random(9)
+    parts = ["token", "Secret", "api_key", "APIKEY", "passwd", "paſſword", " ", "=", ":", '"', "AKIA", "ABCDEF0123456789", "0123456789abcdef", "x", "é😀", "\n", "secret: short", "AKIAAKIA"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400)] + [None, "", "token" + " " * 50_000 + "=" + "a" * 20]
+    df = table(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    found = secret_scan.find_secrets(df).select("doc_id", "base", "spans", secret_scan.shown("base").alias("shown")).collect()
+    assert len(found) == len(texts) + 1
+    for r in found:
+        want = plain_spans(texts[r.doc_id] or "")
+        assert [tuple(s) for s in r.base] == want and set(want) <= {tuple(s) for s in r.spans}
+        assert r.shown == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want)
+    assert secret_scan.find_secrets(df.limit(0)).collect() == [] and secret_scan.redact(df.limit(0)).collect() == []
+
+
+def test_random_strings_are_told_from_ordinary_ones(table):
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    ordinary = ["internationalization-of-ordinary-words-", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF", "aaaaaaaaaabbbbbbbbbbcccccccccc", "Donaudampfschifffahrtsgesellschaft",
+                "ThisIsAnOrdinaryCamelCaseIdentifierWithWords", "00000000000000000001111111111"]
+    texts = [f"see {key(64)} here" for _ in range(40)] + [f"read {w} now" for w in ordinary * 5]
+    found = {r.doc_id: r for r in secret_scan.find_secrets(table(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    random_spans = lambda ids: sum(s.kind == 3 for i in ids for s in found[i].spans)
+    assert random_spans(range(40)) >= 36 and random_spans(range(40, len(texts))) == 0
+    short, long = (np.mean([secret_scan.battery(key(n))[1] for _ in range(50)]) for n in (20, 64))
+    assert long < short / 20
+
+
+def test_redaction(table):
+    row = (1, "a token=abcdefabcdefabcdef99 b", 5)
+    out = secret_scan.redact(table([row, (2, None, 0)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
+    assert out[0].text == "a [secret] b" and out[0].n_chars == 12 and out[1].text is None and out[1].n_chars is None
+
+
+# --- toxicity ----------------------------------------------------------------------
+def test_toxicity(table, spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices(["la", "ro", "mi", "tu", "se", "ka"], k=rng.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(1_500):
+        words = [word() for _ in range(rng.randint(20, 200))]
+        toxic = int(rng.random() < 0.25)
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = rng.choice(["Grumpf", "zwackel", "hohlbirne"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    rows += [(5_000, None), (5_001, ""), (None, "x"), (5_002, "la " * 300_000 + "grumpf")]
+    labels += [(3, None), (None, 1), (77_777, 1)]
+    df, marks = table(rows, "doc_id long, text string"), table(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, marks).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    import zlib
+
+    held = [i for i in range(1_500) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i].held_out == (i in set(held)) for i in range(1_500))
+    right = sum(got[i].predicted == labels[i][1] for i in held) / len(held)
+    assert right > 0.97 and got[5_000].score == got[5_001].score < 0.5
+    flipped = table([(i, 1 - t if t is not None and i is not None and i in set(held) else t) for i, t in labels], "doc_id long, toxic int")
+    assert {r.doc_id: r.score for r in toxicity.toxicity(df, flipped).collect()} == {i: r.score for i, r in got.items()}
+    assert toxicity.toxicity(df.limit(0), marks).collect() == []
+
+
+def test_buckets_of_long_texts_are_those_of_short_ones():
+    text = "".join(random.Random(1).choices("abc é", k=5_000))
+    whole = toxicity.buckets(text)
+    old, toxicity.WINDOW = toxicity.WINDOW, 700
+    try:
+        assert (toxicity.buckets(text) == whole).all()
+    finally:
+        toxicity.WINDOW = old
+
+
+# --- near-duplicates ---------------------------------------------------------------
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    ids = list(sets)
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[ids[a]], sets[ids[b]]
+            common = len(x & y)
+            if common and 100 * common >= 75 * (len(x) + len(y) - common):
+                p, q = root(ids[a]), root(ids[b])
+                parent[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def near_rows(seed, groups, size, words):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    shared, rows = [word() for _ in range(20)], []
+    for _ in range(groups):
+        base = [word() for _ in range(words)]
+        for _ in range(rng.choice([1, 1, 2, size])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, words // 40))):
+                copy[rng.randrange(words)] = word()
+            rows.append((rng.choice([shared, []]) if words < 60 else []) + copy)
+    rng.shuffle(rows)
+    out = [(7 * i + 3, " ".join(r)) for i, r in enumerate(rows)]
+    return out + [(1, None), (2, ""), (4, " \n"), (5, "One two"), (6, "one TWO"), (8, "ONE two three"), (9, "É a b c d"), (11, "é a b c d")]
+
+
+@pytest.mark.parametrize("small, centres", [(800, 8), (12, 1)])
+def test_near_duplicates(table, monkeypatch, small, centres):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "CENTRES", centres)
+    rows = near_rows(small, 12, 60, 80) + [(100_000 + i, t) for i, t in near_rows(small + 1, 20, 5, 30)[:200]]
+    got = near_dedup.deduplicate(table(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain_groups(rows)
+
+
+def test_near_duplicates_of_odd_rows(table):
+    text = "a b c d e f g"
+    df = table([(5, text), (5, text), (None, text), (3, text), (8, None), (8, None), (9, "x y"), (9, "q r")], "doc_id long, text string")
+    got = sorted(map(tuple, near_dedup.deduplicate(df).collect()), key=str)
+    assert got == sorted([(5, 3, 3, False), (5, 3, 3, False), (None, 3, None, True), (3, 3, 3, True), (8, 0, 8, True), (8, 0, 8, True), (9, 1, 9, True), (9, 1, 9, True)], key=str)
+    assert near_dedup.deduplicate(df.limit(0)).collect() == []
+    kept = near_dedup.representatives(df)
+    assert kept.columns == df.columns and sorted([r.doc_id for r in kept.collect()], key=str) == [3, 8, 9, None]
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randint(400, 600), rng.randint(400, 600)) for _ in range(80)] + [(7, 7)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {v for a, b in edges if a != b for v in (a, b)}
+    assert got == {v: root(v) for v in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
