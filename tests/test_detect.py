@@ -75,7 +75,8 @@ def test_linear_forms_match_the_stated_patterns(spark):
     rng = random.Random(3)
     words = ["fetch", "request", "got", "(", ")", "a", ".then", ".catch", ".await", " ", "eval", "exec", "execSync", "Function", "x.eval", "evalx",
              "new Function(", "eval(fetch", "response.text", "ftp", "://", "u", ":", "password1", "@", "h", "+", "9", "-", "1234567-", "z" * 32,
-             ".apps.googleusercontent.com", "12", "9ftp://u:password1@h", "x-y+z://u:p12345678@h ", "123" * 3 + "-" + "z" * 32 + ".apps.googleusercontent.com"]
+             ".apps.googleusercontent.com", "12", "9ftp://u:password1@h", "x-y+z://u:p12345678@h ", "123" * 3 + "-" + "z" * 32 + ".apps.googleusercontent.com",
+             "echo ", "echo  ", "ssh-rsa ", "ssh-dsa  ", ">>", "> ~/", ".ssh/authorized_keys", "2"]
     lines = ["".join(rng.choice(words) for _ in range(rng.randint(3, 16))) for _ in range(6000)]
     df = spark.createDataFrame([(x,) for x in lines], "txt string").repartition(8)
     for rule_id in set(K.LINEAR) | set(K.LEADS):
@@ -269,6 +270,7 @@ def test_large_inputs_neither_overflow_nor_hang(scan):
     bundle = "request(a);fetch(b);" * 20_000 + ".then(x)" * 20_000 + "end"
     stars = "=" * 400_000 + " " * 400_000
     tail = "k = ghp_" + "a1B2" * 9 + " " + "word " * 200_000
-    found, _ = scan({"a.js": numbers, "b.js": esc, "c.js": blob, "d.js": bundle, "e.js": stars, "f.py": tail})
+    keys = "echo ssh-rsa a " * 70_000
+    found, _ = scan({"g.sh": keys, "a.js": numbers, "b.js": esc, "c.js": blob, "d.js": bundle, "e.js": stars, "f.py": tail})
     assert [f.type for f in found if f.file == "f.py"] == ["GitHub Token"]
     assert [f for f in found if f.type == "Hidden IOC (Char Array)"] == []
