@@ -28,7 +28,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.enabled", "false").config("glintscan.scan.partitions", 2 * int(cpus)).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from glintscan.plans import repository
@@ -43,7 +43,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
-    scan = repository.scan(files(spark, sf_dir))
+    scan = repository.scan(files(spark, sf_dir), partitions=2 * int(cpus))
     runs = []
     for _ in range(3):
         start = time.perf_counter()

@@ -44,6 +44,7 @@ def annotate(texts: DataFrame, known: DataFrame, max_urls: int | None = None, ma
     values = unsupported_claims(texts, known).groupBy("text_id", "kind").agg(
         F.sort_array(F.collect_set("value")).alias("v")
     )
+    # output texts (fixed values)
     label = {"ip": ("IPs alucinados: ", None), "url": ("URLs alucinadas: ", max_urls), "hash": ("Hashes alucinados: ", max_hashes)}
     part: Column = F.lit(None).cast("string")
     for kind, (text, n) in label.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Finding types and output texts (fixed values).
 EVAL_TYPES = ["Suspicious JS Keyword", "Remote Code Loading", "Encoded Payload Execution"]
 ENTROPY_TYPES = ["High Entropy String"]
 EVAL_AND_URL = " [CORRELADO: eval + URL externa no mesmo arquivo]"

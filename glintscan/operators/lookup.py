@@ -51,6 +51,7 @@ def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> D
     )
 
 
+# Output texts (fixed values).
 SKIPPED = "Ignorado (Limite de Performance)"
 FAILED = "Falha na verificacao"
 

@@ -61,6 +61,7 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame | None, limit: int
     """
     ranked = with_rank_cut(candidates, limit) if limit is not None else candidates.withColumn("checked", F.lit(True))
     ftype, text = F.col("type"), F.col("description")
+    # output texts (fixed values)
     unverified = F.concat(F.lit("UNVERIFIED ("), ftype, F.lit(")"))
 
     def finding(severity, description, kind) -> Column:
