@@ -49,16 +49,18 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
                   severity: dict[str, str] | None = None) -> DataFrame:
     """Scan ``files(repo, path, name, sha, content)`` into state rows.
 
-    One row per file with its findings, indicators and dependencies: every
+    One row per version of a file (repo, path, hash) with its findings, indicators and dependencies: every
     list is limited by the size of the file.  Review candidates are stored
     too, with their disposition.  Files without hits keep a row with their hash.
     """
+    # the hash travels in front of the repository, so that it is in the key of every branch
+    files = files.withColumn("repo", F.concat_ws("\n", F.coalesce("sha", F.lit("")), F.coalesce("repo", F.lit(""))))
     chosen = filters.inspectable(files, case_fix)
     no_finding, no_ioc = F.lit(None).cast(S.FINDING), F.lit(None).cast(S.IOC)
     no_dependency = F.lit(None).cast(S.DEPENDENCY)
 
     def part(df: DataFrame, path: str, finding, ioc, dependency) -> DataFrame:
-        return df.select("repo", F.col(path).alias("path"), F.lit(None).cast("string").alias("content_hash"),
+        return df.select("repo", F.col(path).alias("path"),
                          finding.alias("finding"), ioc.alias("ioc"), dependency.alias("dependency"))
 
     def finding(df: DataFrame):
@@ -83,13 +85,14 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
     sensitive = filters.sensitive_files(files, case_fix).select(
         "*", F.lit("LOW").alias("severity"), F.lit("candidate").alias("disposition"))
     from_names = part(sensitive, "file", finding(sensitive), no_ioc, no_dependency)
-    keys = files.select("repo", "path", F.col("sha").alias("content_hash"),
-                        no_finding.alias("finding"), no_ioc.alias("ioc"), no_dependency.alias("dependency"))
+    keys = files.select("repo", "path", no_finding.alias("finding"), no_ioc.alias("ioc"), no_dependency.alias("dependency"))
     rows = keys.unionByName(from_hits).unionByName(from_manifests).unionByName(from_names)
-    return rows.groupBy("repo", "path").agg(
-        F.max("content_hash").alias("content_hash"), F.collect_list("finding").alias("findings"),
+    state = rows.groupBy("repo", "path").agg(
+        F.collect_list("finding").alias("findings"),
         F.collect_list("ioc").alias("iocs"), F.collect_list("dependency").alias("dependencies"),
     )
+    both = F.split("repo", "\n", 2)
+    return state.select("path", both[0].alias("content_hash"), "findings", "iocs", "dependencies", both[1].alias("repo"))
 
 
 def rescan(files: DataFrame, state: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -55,6 +55,12 @@ def test_streaming_rescan(spark, tmp_path):
     assert {(r.path, r.content_hash, len(r.findings)) for r in now.collect()} == {("src/a.py", "h7", 0), ("src/b.js", "h2", 1)}
 
 
+def test_versions_of_a_file_stay_apart(spark):
+    rows = [("r", "src/a.py", "a.py", "h1", f"k = {KEY}\n"), ("r", "src/a.py", "a.py", "h2", "clean = 1\n")]
+    got = repository.scanned_state(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.repo, r.path, r.content_hash, len(r.findings)) for r in got} == {("r", "src/a.py", "h1", 1), ("r", "src/a.py", "h2", 0)}
+
+
 def test_directory_tree(spark, tmp_path):
     for name, data in {"src/a.py": f"k = {KEY}".encode(), "node_modules/x.js": b"x", "logo.PNG": b"x", "Cargo.lock": b"x", "big.txt": b"x" * 1_048_577,
                        "bad.txt": b"\xff ok", ".env": b"A=1", "env.py": b"x"}.items():
