@@ -15,10 +15,12 @@ def components(links: DataFrame) -> DataFrame:
     a great many links; the number of rounds grows with the logarithm of the longest path.
     """
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        before = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small_star(large_star(edges))
-        if edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
+    print_of = lambda e: e.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    after = print_of(edges)
+    while after[0]:
+        before, edges = after, small_star(large_star(edges))
+        after = print_of(edges)
+        if after == before:
             break
     return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(
         edges.select("v", F.col("v").alias("component")).distinct())
@@ -28,7 +30,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a vertex goes to the smallest of the vertex and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    return staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:

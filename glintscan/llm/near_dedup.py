@@ -77,25 +77,31 @@ def minwise(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``key`` (128 bits of the set) and ``tokens`` (the minwise tokens) of every row."""
+    """``doc_id``, ``n_shingles``, ``key`` (128 bits of the set), ``roots`` and ``tokens`` of every row.
+
+    The roots are the minwise tokens that trees start at, ``tokens`` the last 16 bits of all: enough to compare texts by,
+    for unequal ones agree once in 65,536 times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         known: dict[bytes, int] = {}
         for batch in batches:
-            sizes, keys, tokens = [], [], []
+            sizes, keys, roots, tokens = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingles(text, known)
                 sizes.append(len(values))
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                tokens.append(minwise(values).astype(np.int64, casting="unsafe") if len(values) else None)
+                least = minwise(values)
+                roots.append(least[:TREES].astype(np.int64, casting="unsafe") if len(values) else None)
+                tokens.append((least ^ (least >> np.uint64(31))).astype("<u2", casting="unsafe").tobytes() if len(values) else None)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "tokens"])
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+                ["doc_id", "n_shingles", "key", "roots", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, tokens array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, roots array<long>, tokens binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("rep").filter(pa.array(fits)), pa.array(sets, pa.binary()).filter(pa.array(fits))], ["rep", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("text IS NOT NULL")
-    return rows.join(wanted, "rep").select("rep", "text", "key").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return rows.join(wanted, "rep").dropDuplicates(["rep", "text"]).select("rep", "text", "key").mapInArrow(run, "rep long, shingles binary")
 
 
 def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +141,7 @@ def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def token_rows(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), COORDINATES)
 
 
 def close_pairs(tokens: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,13 +181,12 @@ def promising(members: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame) -> DataFrame:
-    """Links that join texts of different labels, confirmed on the full sets; pairs already joined in the node are left out."""
+    """Pairs of labels that links between their texts join, confirmed on the full sets: each label and the smallest one it reaches in a node."""
     def work(node: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         labels = node.column("label").to_numpy()
         a, b, shared = close_pairs(token_rows(node.column("tokens")), labels)
         if not len(a):
             return
-        reps = node.column("rep").to_numpy()
         sets = [np.frombuffer(s, "<u8") for s in node.column("shingles").to_pylist()]
         parent = {int(x): int(x) for x in set(labels.tolist())}
 
@@ -190,13 +195,12 @@ def linked(members: DataFrame) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        found = []
         for k in np.argsort(-shared, kind="stable").tolist():
             i, j = int(a[k]), int(b[k])
             x, y = root(int(labels[i])), root(int(labels[j]))
             if x != y and similar(sets[i], sets[j]):
                 parent[max(x, y)] = min(x, y)
-                found.append((int(reps[i]), int(reps[j])))
+        found = [(x, root(x)) for x in parent if root(x) != x]
         if found:
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -219,49 +223,58 @@ def described(nodes: DataFrame) -> DataFrame:
         .select("node", "n", F.col("m.c").alias("inside"), F.col("m.label").alias("main")))
 
 
-def compare(small: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links in the nodes of ``small`` (``node``, ``rep``, ``label``, ``tokens``)."""
-    near = staged(promising(small))
-    members = small.join(near, ["node", "rep"], "left_semi")
-    return linked(members.join(sets_of(docs, texts, near), "rep"))
-
-
 def sets_of(docs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return staged(full_sets(docs, texts.select("rep", "key").join(wanted.select("rep").distinct(), "rep", "left_semi")))
 
 
 def link(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) whose components are those of all links between ``texts`` (``rep``, ``key``, ``tokens``)."""
-    node = lambda tree, token: F.xxhash64(tree, token)
-    roots = F.transform(F.slice("tokens", 1, TREES), lambda t, i: F.struct(i.alias("tree"), node(i, t).alias("node")))
+    """Links (``a``, ``b``) whose components are those of all links between ``texts`` (``rep``, ``key``, ``roots``, ``tokens``)."""
+    roots = F.transform("roots", lambda t, i: F.struct(i.alias("tree"), F.xxhash64(i, t).alias("node")))
     grown = texts.select("rep", F.explode(roots).alias("r")).select("rep", "r.tree", "r.node")
     sizes = staged(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    active = staged(grown.join(sizes, "node"))
-    active = staged(active.join(texts.select("rep", "tokens"), "rep"))
-    small, large = active.filter(F.col("n") <= SMALL), active.filter(F.col("n") > SMALL)
+    active = staged(grown.join(sizes, "node").join(texts.select("rep", "tokens"), "rep"))
+    small = active.filter(F.col("n") <= SMALL).withColumn("label", F.col("rep"))
+    near, pairs = staged(promising(small)), staged(near_centres(active.filter(F.col("n") > SMALL)))
 
-    # First look: three trees, and for large nodes the links to a few texts that the hash chooses alike in every node.
-    small = small.withColumn("label", F.col("rep"))
-    near = staged(promising(small))
-    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), F.col("rep").alias("centre"), F.col("tokens").alias("centre_tokens")))
-    centres = staged(large.groupBy("node").agg(F.array(*[centre(s) for s in range(CENTRES)]).alias("c")).select("node", F.explode("c").alias("c")))
-    equal = F.aggregate(F.zip_with("tokens", "c.centre_tokens", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = staged(
-        large.join(centres, "node").filter(F.col("rep") != F.col("c.centre")).filter(equal >= CHANCE * COORDINATES)
-        .select("rep", F.col("c.centre").alias("centre")).distinct())
+    # First look: small nodes of three trees, and the centres of large nodes.
     sets = sets_of(docs, texts, near.select("rep").unionByName(pairs.select("rep")).unionByName(pairs.select(F.col("centre").alias("rep"))))
     first = small.filter(F.col("tree") < FIRST_TREES).join(near, ["node", "rep"], "left_semi").join(sets, "rep")
-    links = staged(linked(first).unionByName(star_links(pairs, sets)))
-    labels = staged(components(links).select(F.col("v").alias("rep"), "component"))
+    labels = staged(components(linked(first).unionByName(star_links(pairs, sets))).select(F.col("v").alias("rep"), "component"))
     label = F.coalesce("component", "rep").alias("label")
+    known = labels.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+
+    # Second look: all small nodes and what becomes of the large ones, as far as labels differ.
+    members = near.join(labels, "rep", "left").select("node", "rep", label)
+    members = staged(members.join(staged(described(members)).select("node"), "node", "left_semi").join(texts.select("rep", "tokens"), "rep"))
+    members = members.join(staged(promising(members)), ["node", "rep"], "left_semi")  # next to the labels, few are left
+    dealt = branched(active.filter(F.col("n") > SMALL).select("node", "rep", "tokens").join(labels, "rep", "left").select("node", "rep", "tokens", label))
+    if dealt is not None:
+        far = staged(promising(dealt))
+        members = members.unionByName(dealt.join(far, ["node", "rep"], "left_semi").select(members.columns))
+        sets = sets.unionByName(sets_of(docs, texts, far.join(sets, "rep", "left_anti")))
+    return known.unionByName(staged(linked(members.join(sets, "rep"))))
 
-    # Second look: the other trees' small nodes, as far as labels differ.
-    second = near.join(labels, "rep", "left").select("node", "rep", label)
-    second = second.join(staged(described(second)).select("node"), "node", "left_semi").join(texts.select("rep", "tokens"), "rep").join(sets, "rep")
-    links = links.unionByName(staged(linked(second)))
 
-    # Large nodes with several labels: deal out, branch, and deal out what is left at the last level.
-    members = large.select("node", "rep", "tokens").join(labels, "rep", "left").select("node", "rep", "tokens", label)
+def near_centres(large: DataFrame) -> DataFrame:
+    """Distinct pairs of a member of a large node and one of its centres (``rep``, ``centre``) that share enough tokens.
+
+    The centres are the members with the smallest hash, so that nodes with the same members have the same ones.
+    """
+    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), F.col("rep").alias("centre"), F.col("tokens").alias("centre_tokens")))
+    centres = staged(large.groupBy("node").agg(F.array(*[centre(s) for s in range(CENTRES)]).alias("c")).select("node", F.explode("c").alias("c")))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal = (token_rows(batch.column("tokens")) == token_rows(batch.column("centre_tokens"))).sum(axis=1)
+            yield batch.select(["rep", "centre"]).filter(pa.array(equal >= CHANCE * COORDINATES))
+
+    both = large.join(centres, "node").select("rep", "tokens", "c.centre", "c.centre_tokens").filter("rep <> centre")
+    return both.mapInArrow(alike, "rep long, centre long").distinct()
+
+
+def branched(members: DataFrame) -> DataFrame | None:
+    """Small nodes in which all texts of different labels in the nodes of ``members`` meet with the chance of a tree; None without any."""
+    out: DataFrame | None = None
     for level in range(LEVELS + 1):
         members = staged(members)
         facts = staged(described(members))
@@ -269,15 +282,15 @@ def link(docs: DataFrame, texts: DataFrame) -> DataFrame:
             break
         members = members.join(facts, "node")
         few = (F.col("n") <= SMALL) | (F.col("n") - F.col("inside") <= SMALL)
-        links = links.unionByName(staged(compare(dealt_out(members.filter(few)), texts, docs)))
+        part = dealt_out(members.filter(few))
         members = members.filter(~few)
         if level == LEVELS:
-            links = links.unionByName(staged(compare(in_parts(members), texts, docs)))
-            break
+            part = part.unionByName(in_parts(members))
+        out = part if out is None else out.unionByName(part)
         chosen = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda k: (TREES + F.pmod(F.xxhash64("node", k), F.lit(COORDINATES - TREES))).cast("int"))
         members = members.select("node", "rep", "tokens", "label", F.explode(chosen).alias("at")).select(
-            F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "rep", "tokens", "label")
-    return links
+            F.xxhash64("node", "at", F.substring("tokens", F.col("at") * 2 + 1, F.lit(2))).alias("node"), "rep", "tokens", "label")
+    return None if out is None else staged(out)
 
 
 def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -318,8 +331,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     rows = staged(sketch(docs))
     texts = staged(
-        rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "tokens")).alias("m"))
-        .select("key", F.col("m.doc_id").alias("rep"), F.col("m.tokens").alias("tokens")))
+        rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "roots", "tokens")).alias("m"))
+        .select("key", F.col("m.doc_id").alias("rep"), "m.roots", "m.tokens"))
     members = staged(rows.select("doc_id", "n_shingles", "key").join(texts.select("key", "rep"), "key", "left"))
     again = members.filter("doc_id IS NOT NULL AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = again.join(texts.select(F.col("rep").alias("a")), "a", "left_semi")  # ids with several texts
