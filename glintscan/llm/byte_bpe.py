@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .units import UnitMemory, packed
+from .units import UnitMemory, kept_in_worker, packed
 
 #: Byte ranges that stand for themselves as characters; the others follow from code point 256 on.
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
     model, order = sentencepiece_model(ranks), np.array(sorted(ranks.values()), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, order, pattern)
+        codec = kept_in_worker(("codec", ranks_path, pattern), lambda: Codec(model, order, pattern))
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)

@@ -37,13 +37,15 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right")
-    selector = np.zeros(n, np.int64)
-    at = np.arange(n)
-    for s in range(len(COUNTS) - 1, 0, -1):  # the largest count that fits is set last
-        wide = np.concatenate([[0], np.cumsum(bits > 60 // COUNTS[s])])
-        selector[wide[np.minimum(at + COUNTS[s], n)] == wide[:-1]] = s
-    after = (at + np.maximum(np.array(COUNTS)[selector], 1)).tolist()
+    bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right").astype(np.uint8)
+    selector = np.zeros(n, np.uint8)
+    widest = bits = np.concatenate([bits, np.zeros(COUNTS[1], np.uint8)])
+    for count in range(1, COUNTS[1] + 1):  # the largest count that fits is set last
+        if count > 1:
+            widest = np.maximum(widest[:-1], bits[count - 1:])
+        if count in COUNTS:
+            selector[widest[:n] <= 60 // count] = COUNTS.index(count)
+    after = (np.arange(n) + np.maximum(np.array(COUNTS)[selector], 1)).tolist()
     first, i = [], 0
     while i < n:
         first.append(i)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import staged
-from .units import UnitMemory, packed
+from .units import WHITE_CHARACTERS, UnitMemory, kept_in_worker, packed
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -37,10 +37,42 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters of units that are encoded as one text.
+JOINED = 4_000
+
+
+def encode_units(tok, units: list[str]) -> list[bytes]:
+    """The ids of every unit.
+
+    Units that start with white space and end with another character are encoded many at a time, one after the other:
+    each starts at a boundary of the joined text, so its ids are those between its own characters.
+    """
+    apart, joined, size, parts = [], [], 0, []
+    for u in units:
+        if u[0] not in WHITE_CHARACTERS or u[-1] in WHITE_CHARACTERS:
+            apart.append(u)
+        else:
+            if size > JOINED or not parts:
+                parts.append(joined := [])
+                size = 0
+            joined.append(u)
+            size += len(u)
+    found = dict(zip(apart, (packed(e.ids) for e in tok.encode_batch_fast(apart, add_special_tokens=False)), strict=True))
+    for part, enc in zip(parts, tok.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+        starts = np.fromiter((a for a, _ in enc.offsets), np.int64)
+        ids = np.array(enc.ids, "<u4").tobytes()
+        cuts = [*(4 * np.searchsorted(starts, np.cumsum([0, *map(len, part[:-1])]))).tolist(), len(ids)]
+        found.update((u, ids[a:b]) for u, a, b in zip(part, cuts, cuts[1:], strict=False))
+    return [found[u] for u in units]
+
+
 def unit_memory(path: str) -> UnitMemory:
-    """Ids of texts by the tokenizer of a JSON file."""
-    tok = tokenizer(path)
-    return UnitMemory(lambda units: [packed(e.ids) for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+    """Ids of texts by the tokenizer of a JSON file; a worker keeps it from task to task."""
+    def make() -> UnitMemory:
+        tok = tokenizer(path)
+        return UnitMemory(lambda units: encode_units(tok, units))
+
+    return kept_in_worker(("tokenizer", path), make)
 
 
 def chunk_boundaries(ids: int, starts: np.ndarray, words: np.ndarray, begin: int, low: int, high: int) -> tuple[list, list]:

@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 from collections.abc import Callable, Iterable
+from typing import Any
 
 #: The code points of Unicode's property White_Space, which the pattern's \s stands for.
 WHITE = r"\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BOUNDARY = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+WHITE_CHARACTERS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 #: Longer units are not remembered.
 LONG_UNIT = 64
 
@@ -44,20 +48,25 @@ class UnitMemory:
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         split = [UNIT.findall(t) for t in texts]
-        known = self.known
-        fresh = {u for units in split for u in units if u not in known}
-        if len(known) + len(fresh) > self.limit:
-            known.clear()
-            fresh = {u for units in split for u in units}
-        fresh = list(fresh)
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        out = [b"".join([known[u] for u in units]) for units in split]
-        for u in fresh:
-            if len(u) > LONG_UNIT:
-                del known[u]
+        got = [list(map(self.known.get, units)) for units in split]
+        fresh = dict.fromkeys(u for units, ids in zip(split, got, strict=True) for u, i in zip(units, ids, strict=True) if i is None)
+        fresh = dict(zip(fresh, self.encode(list(fresh)), strict=True))
+        out = [b"".join([i if i is not None else fresh[u] for u, i in zip(units, ids, strict=True)]) for units, ids in zip(split, got, strict=True)]
+        if len(self.known) + len(fresh) > self.limit:
+            self.known.clear()
+        self.known.update((u, i) for u, i in fresh.items() if len(u) <= LONG_UNIT)
         return out
 
 
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks; a new key takes the place of the old one."""
+    kept = sys.modules.setdefault("_llm_kept_in_worker", types.ModuleType("_llm_kept_in_worker")).__dict__
+    if kept.get("key") != key:
+        kept["value"] = make()
+        kept["key"] = key
+    return kept["value"]
+
+
 def portions(texts: Iterable[str], chars: int) -> Iterable[list[str]]:
     """Consecutive texts in lists of about ``chars`` characters; a longer text stands alone."""
     part, size = [], 0
