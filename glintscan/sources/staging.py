@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
+    """The folder named by ``spark.checkpoint.dir``, or where it is unset the warehouse; the driver and all executors share both."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def stage(df: DataFrame) -> DataFrame:
