@@ -256,20 +256,31 @@ def link(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_centres(large: DataFrame) -> DataFrame:
-    """Distinct pairs of a member of a large node and one of its centres (``rep``, ``centre``) that share enough tokens.
+    """Distinct pairs (``rep``, ``centre``) of a member of a large node and the two of its centres that share most tokens with it.
 
-    The centres are the members with the smallest hash, so that nodes with the same members have the same ones.
+    The centres are the members with the smallest hashes, so that nodes with the same members have the same ones.
+    Centres that share too few tokens are left out; the second look misses nothing by that.
     """
-    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), F.col("rep").alias("centre"), F.col("tokens").alias("centre_tokens")))
-    centres = staged(large.groupBy("node").agg(F.array(*[centre(s) for s in range(CENTRES)]).alias("c")).select("node", F.explode("c").alias("c")))
+    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep", "tokens"))
+    centres = large.groupBy("node").agg(F.array(*[centre(s) for s in range(CENTRES)]).alias("c"))
+    centres = staged(centres.select("node", F.col("c.rep").alias("centres"), F.col("c.tokens").alias("centre_tokens")))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            equal = (token_rows(batch.column("tokens")) == token_rows(batch.column("centre_tokens"))).sum(axis=1)
-            yield batch.select(["rep", "centre"]).filter(pa.array(equal >= CHANCE * COORDINATES))
-
-    both = large.join(centres, "node").select("rep", "tokens", "c.centre", "c.centre_tokens").filter("rep <> centre")
-    return both.mapInArrow(alike, "rep long, centre long").distinct()
+            if not batch.num_rows:
+                continue
+            reps = batch.column("rep").to_numpy()
+            ids = batch.column("centres").flatten().to_numpy().reshape(-1, CENTRES)
+            tokens = token_rows(batch.column("centre_tokens").flatten()).reshape(-1, CENTRES, COORDINATES)
+            shared = (tokens == token_rows(batch.column("tokens"))[:, None, :]).sum(axis=2)
+            for k in range(CENTRES):  # a centre once, and nothing beside itself
+                shared[(ids[:, k] == reps) | (ids[:, :k] == ids[:, k:k + 1]).any(axis=1), k] = -1
+            best = np.argsort(-shared, axis=1, kind="stable")[:, :2]
+            rows, columns = np.nonzero(np.take_along_axis(shared, best, 1) >= CHANCE * COORDINATES)
+            yield pa.record_batch([pa.array(reps[rows]), pa.array(ids[rows, best[rows, columns]])], ["rep", "centre"])
+
+    both = large.join(centres, "node").select("rep", "tokens", "centres", "centre_tokens")
+    return both.mapInArrow(closest, "rep long, centre long").distinct()
 
 
 def branched(members: DataFrame) -> DataFrame | None:
