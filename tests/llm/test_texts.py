@@ -249,7 +249,7 @@ def near_rows(seed, groups, size, words):
     return out + [(1, None), (2, ""), (4, " \n"), (5, "One two"), (6, "one TWO"), (8, "ONE two three"), (9, "É a b c d"), (11, "é a b c d")]
 
 
-@pytest.mark.parametrize("small, centres", [(800, 8), (12, 1)])
+@pytest.mark.parametrize("small, centres", [(800, 8), (12, 2)])
 def test_near_duplicates(table, monkeypatch, small, centres):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "CENTRES", centres)
