@@ -1,14 +1,14 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for everything they do not name.
 
-A candidate is a run of at least ``MIN_RUN`` characters of the common encodings. Its encoding is inferred (the smallest
+A candidate is a run of at least ``MIN_RUN`` characters of the common encodings outside the spans of the patterns, or its
+parts between ``/``, ``-`` and ``_`` where those look more random than the run. Its encoding is inferred (the smallest
 alphabet that holds it), its characters become numbers, and three tests follow: chi-squared uniformity over the
-alphabet, runs above and below the middle, and serial correlation. The question is not whether a string could be
-random, for every short string could, but whether ordinary text would look as even as it does. So the chi-squared
-value is held against its distribution for prose of the same length: that grows with the length, and a short string cannot
-get a small p-value. A string with too few or too many runs, or with correlated neighbours (counters, alphabets,
-repeats), gets the p-value 1. False discoveries are then limited by Benjamini and Hochberg's rule over all candidates of
-the table, in classes of encoding and length: p-values are counted in a histogram of bounded size, and each class
-gets one limit.
+alphabet, runs above and below the middle, and serial correlation. A string that one of them rejects (repeats, counters) gets the p-value 1. The question for the others is not whether a string could be random, for every short
+string could, but whether ordinary text would be written so. Its p-value is the chance that ordinary text gives the string
+(``prose.log_chance``: letters by the letter before, case and digits) over the chance that its uniform encoding gives it: by
+Markov's inequality ordinary text gets a ratio of at most p with a chance of at most p, at any length. False discoveries
+are then limited by Benjamini and Hochberg's rule over all candidates of the table, in classes of encoding and length:
+p-values are counted in a histogram of bounded size, and each class gets one limit.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import prose
 from .common import staged
 
 #: The kinds of spans in their order, and the patterns of the first three.
@@ -31,6 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}={0,2}")
 
 #: Alphabets from small to large; a string has the encoding of the first one that holds it.
 ALPHABETS = {
@@ -41,11 +43,14 @@ ALPHABETS = {
 }
 NUMBERS = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 SETS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
-#: Chances that two, and that three, characters of ordinary text are equal: European letters, those of them that are hex
-#: digits, and digits in numbers.
-PROSE, PROSE_HEX, PROSE_DECIMAL = (0.066, 0.0056), (0.24, 0.078), (0.12, 0.016)
+#: Chances that two, and that three, characters of ordinary text are equal: European letters, and those of them that are hex
+#: digits.
+PROSE, PROSE_HEX = (0.066, 0.0056), (0.24, 0.078)
 #: Two-sided chance at which runs and serial correlation reject.
 ALPHA = 0.002
+#: Standard deviations of the pairs of equal characters above which a string is not uniform, unless prose is as even with a
+#: chance of at most ``RARE`` only: repeats have more, encoded texts are in between.
+EVEN, RARE = 3.5, 0.01
 #: Share of false discoveries allowed.
 FALSE_RATE = 0.01
 #: Steps of the histogram for a factor of ten of the p-value, and its last step.
@@ -59,28 +64,32 @@ def below(z: float) -> float:
 
 
 def battery(text: str) -> tuple[str, float]:
-    """Encoding of a string, and the chance that ordinary text of its length looks as random."""
+    """Encoding of a string, and the chance that ordinary text looks as random."""
     body = text.rstrip("=")
     letters = set(body)
     name = next((n for n, s in SETS.items() if letters <= s), None)
     if name is None:
         return "mixed", 1.0
+    if name == "decimal":  # numbers are as even as random digits; the pattern for hex takes all of them
+        return name, 1.0
     numbers = NUMBERS[name]
     values = [numbers[c] for c in body]
     n, k = len(values), len(numbers)
-    count: dict[int, int] = {}
-    for v in values:
-        count[v] = count.get(v, 0) + 1
-    even = k / n * sum(c * c for c in count.values()) - n
-    two, three = PROSE_DECIMAL if name == "decimal" else PROSE_HEX if name.endswith("hex") else PROSE
-    usual = (k - 1) + (n - 1) * (k * two - 1)
-    spread = k * math.sqrt(2 * (two - two * two) + 4 * n * (three - two * two))
-    prose = below((even - usual) / spread)
     high = [v >= k / 2 for v in values]
     a = sum(high)
     b = n - a
     if not a or not b:
         return name, 1.0
+    count: dict[int, int] = {}
+    for v in values:
+        count[v] = count.get(v, 0) + 1
+    pairs = n * (n - 1) / 2
+    equal = sum(c * (c - 1) for c in count.values()) / 2  # chi-squared is 2 k / n of it, and a constant
+    even = (equal - pairs / k) / math.sqrt(pairs / k * (1 - 1 / k))
+    two, three = PROSE_HEX if name.endswith("hex") else PROSE
+    spread = math.sqrt(pairs * (two - two * two) + n * (n - 1) * (n - 2) * (three - two * two))
+    if even > EVEN and below((equal - pairs * two) / spread) > RARE:
+        return name, 1.0
     runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
     mean = 2 * a * b / n + 1
     wide = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
@@ -88,7 +97,7 @@ def battery(text: str) -> tuple[str, float]:
     power = sum((v - middle) ** 2 for v in values)
     serial = sum((x - middle) * (y - middle) for x, y in zip(values, values[1:], strict=False)) / power if power else 1.0
     two_sided = min(2 * below(-abs(runs - mean) / wide), 2 * below(-abs(serial * math.sqrt(n))))
-    return name, prose if two_sided >= ALPHA / 2 else 1.0
+    return name, math.exp(min(0.0, prose.log_chance(body) + n * math.log(k))) if two_sided >= ALPHA / 2 else 1.0
 
 
 def length_class(n: int) -> int:
@@ -105,13 +114,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def gaps(base: list[tuple[int, int, int]], end: int) -> Iterator[tuple[int, int]]:
+    """Start and end of what lies between the base spans."""
+    at = 0
+    for start, _, stop in base:
+        if start > at:
+            yield at, start
+        at = max(at, stop)
+    yield at, end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """Start, end, class and step of the runs that no base span touches."""
+    """Start, end, class and step of the runs outside the base spans.
+
+    Where a run has long parts between separators, either it or they are candidates, whichever is more random; their
+    p-values double for the choice.
+    """
     out = []
-    for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
-            name, p = battery(m.group())
-            out.append((m.start(), m.end(), f"{name} {length_class(m.end() - m.start())}", step_of(p)))
+    for gap in gaps(base, len(text)):
+        for m in RUN.finditer(text, *gap):
+            tested, choices = [(m, *battery(m.group()))], 1
+            parts = [(part, *battery(part.group())) for part in PART.finditer(text, *m.span()) if part.span() != m.span()]
+            if parts:
+                choices = 2
+                if min(p for _, _, p in parts) < tested[0][2]:
+                    tested = parts
+            out += [(c.start(), c.end(), f"{name} {length_class(c.end() - c.start())}", step_of(min(1.0, choices * p))) for c, name, p in tested]
     return out
 
 

@@ -162,6 +162,32 @@ def test_random_strings_are_told_from_ordinary_ones(table):
     assert long < short / 20
 
 
+def test_short_keys_of_every_encoding_are_told_from_ordinary_text():
+    rng = random.Random(12)
+    for name, letters in secret_scan.ALPHABETS.items():
+        if name != "decimal":
+            for n in (20, 24, 32, 40):
+                p = [secret_scan.battery("".join(rng.choices(letters, k=n)))[1] for _ in range(200)]
+                assert sum(x <= 0.01 for x in p) >= 190, (name, n)
+    words = ["Rechtsschutzversicherungsgesellschaften", "lentokonesuihkuturbiinimoottori", "szczebrzeszynskichrzaszcz", "UNEXPECTED_RESPONSE_FROM_SERVER", "PYTHONLEGACYWINDOWSFSENCODING",
+             "convertMatrixColumnsToML", "x86_64-unknown-linux-gnu", "utf8mb4_unicode_520_ci", "arm64-v8a-armeabi-v7a-x86", "com/python/cpython/issues/92810", "abcabcabcabcabcabcabcabcabc", "XXXXXXXXXXXXXXXXXXXXXXXXXy"]
+    assert [w for w in words if secret_scan.battery(w)[1] <= 0.1] == []
+
+
+def test_keys_in_paths_and_beside_base_spans_are_found(table):
+    rng = random.Random(13)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    keys = [key(24) for _ in range(60)]
+    forms = ["see documentation/of/the/internal/configuration/{} now", "sk_live_{} now", "{}-of-the-internationalization-of-words", "é 0123456789abcdef/{} now", "token=short-but-long-enough {} now"]
+    texts = [forms[i % 5].format(k) for i, k in enumerate(keys)]
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(table(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = lambda i: texts[i].index(keys[i])
+    assert sum(any(s.kind == 3 and s.start <= at(i) and s.end >= at(i) + 24 for s in found[i]) for i in range(60)) >= 57
+    masked = secret_scan.redact(table(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(keys[r.doc_id] not in r.text for r in masked) >= 57
+    assert all(set(map(tuple, secret_scan.find_secrets(table([(0, t)], "doc_id long, text string")).first().base)) == set(plain_spans(t)) for t in texts[:5])
+
+
 def test_redaction(table):
     row = (1, "a token=abcdefabcdefabcdef99 b", 5)
     out = secret_scan.redact(table([row, (2, None, 0)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
