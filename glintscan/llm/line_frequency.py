@@ -1,9 +1,9 @@
 """Quality rules: lines that many documents of a host share are removed, and documents that lose too much are rejected.
 
 Lines are compared after lower-casing, with digits as zeros and white space as single spaces, by a 64-bit hash. For each
-host and line, the distinct texts that hold it are counted; exact copies of a text count once, for they are the business of
-de-duplication. Over the limit, the line is removed from every text but the first one (smallest ``doc_id``), so
-a passage never disappears from a host altogether. Counting goes by (line, text) first, then by line, so no line is hot;
+host and line, the distinct documents (``doc_id``) that hold it are counted, exact copies of a text too. Over the limit, the
+line is removed from every text but the first one (smallest ``doc_id``) and its exact copies, so a passage never disappears
+from a host altogether. Counting goes by (line, text) first, then by line, so no line is hot;
 the look-up of removed lines is a sort-merge join of two written tables, which Spark splits where a line is.
 """
 
@@ -102,11 +102,13 @@ def removed_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``text_key``, ``removed`` (hashes of its lines that go) and ``removed_words``, for the texts that lose lines."""
     held = staged(
         measured.select("doc_id", "text_key", "source", F.explode("lines").alias("l"))
-        .groupBy(F.xxhash64("source", "l.line").alias("line_key"), "text_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("l.line").alias("line"), F.max("l.words").alias("words")))
+        .groupBy(F.xxhash64("source", "l.line").alias("line_key"), "text_key", "doc_id")
+        .agg(F.max("l.line").alias("line"), F.max("l.words").alias("words"))  # rows of one id and text are one document
+        .groupBy("line_key", "text_key")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("line").alias("line"), F.max("words").alias("words"), F.count(F.lit(1)).alias("docs")))
     common = staged(
-        held.groupBy("line_key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-        .filter(F.col("texts") > max_docs).select("line_key", F.col("first.text_key").alias("first_key")))
+        held.groupBy("line_key").agg(F.sum("docs").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("first"))
+        .filter(F.col("docs") > max_docs).select("line_key", F.col("first.text_key").alias("first_key")))
     return (
         held.join(common, "line_key").filter(F.col("text_key") != F.col("first_key")).groupBy("text_key")
         .agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words")))  # lines of one text

@@ -114,6 +114,17 @@ def test_quality(table):
     assert line_frequency.judge(df.limit(0)).collect() == [] and line_frequency.clean(df.limit(0)).collect() == []
 
 
+def test_exact_copies_count_as_documents(table):
+    rng = random.Random(4)
+    own = lambda: " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(60))
+    line, copied = "Read more of this on our pages", own()
+    rows = [(1, "h", own() + "\n" + line)] + [(10 + i, "h", copied + "\n" + line) for i in range(5)]  # six documents, two texts
+    rows += [(30, "h", own() + "\nListed often")] * 9 + [(40, "h", own() + "\nListed often")]  # two documents in ten rows
+    rows += [(50 + i, "g", copied + "\n" + line) for i in range(5)]  # five documents of another host
+    got = {r.doc_id: r.removed_words for r in line_frequency.judge(table(rows, DOCS), max_docs=5).collect()}
+    assert got == {r[0]: 7 if 10 <= r[0] < 15 else 0 for r in rows}
+
+
 def test_facts_of_long_texts():
     text = " ".join(str(i % 1_700) for i in range(60_000)) + "\n" + "é " * 10
     got = line_frequency.text_facts(text)[:5]
