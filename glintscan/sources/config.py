@@ -1,4 +1,4 @@
-"""Rules and settings from files."""
+"""Rules from files."""
 
 from __future__ import annotations
 

@@ -61,7 +61,9 @@ SHORT_REPO = r"(?U)^([\w.-]+/[\w.-]+)\z"
 
 
 def parse_repositories(lines: DataFrame) -> DataFrame:
-    """``lines(line_no, line)`` → ``(status, value)``: valid URLs, invalid entries, duplicate entries.
+    """``lines(line_no, line)`` → ``(status, value, n)``: valid URLs, invalid entries, duplicate entries.
+
+    Ordered by status; valid and duplicate ones by value, invalid ones as they were listed.
 
     Repeats of an entry are folded before the shuffle, so the window by URL sees
     only its different spellings.  Invalid entries keep their repeats in ``n``.
@@ -85,7 +87,7 @@ def parse_repositories(lines: DataFrame) -> DataFrame:
     )
     listed = ranked.select("url", "entry", F.explode(status).alias("status")).select(
         "status", F.when(F.col("status") == "valid", F.col("url")).otherwise(F.col("entry")).alias("value"),
-        F.lit(1).cast("bigint").alias("n"),
+        F.lit(1).cast("bigint").alias("n"), F.lit(None).cast(lines.schema["line_no"].dataType).alias("line_no"),
     )
-    invalid = spelled.where("url IS NULL").select(F.lit("invalid").alias("status"), F.col("entry").alias("value"), "n")
-    return listed.unionByName(invalid)
+    invalid = spelled.where("url IS NULL").select(F.lit("invalid").alias("status"), F.col("entry").alias("value"), "n", "line_no")
+    return listed.unionByName(invalid).orderBy("status", "line_no", "value").drop("line_no")

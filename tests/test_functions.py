@@ -164,6 +164,13 @@ def test_repositories(spark):
     assert sorted(got["invalid"]) == [("<img src=x onerror=1>", 1), ("https://evil.com/malware/repo", 1), ("not-a-repo", 2)]
 
 
+def test_repositories_are_in_order(spark):
+    lines = ["z/z", "not-a-repo", "b/b", "B/b", "a/a", "!", "a/a", "c/c", "z/z"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string").repartition(5)
+    got = [(r.status, r.value) for r in targets.parse_repositories(df).collect()]
+    assert got == [("duplicate", x) for x in ("B/b", "a/a", "z/z")] + [("invalid", x) for x in ("not-a-repo", "!")] + [("valid", f"https://github.com/{x}") for x in ("a/a", "b/b", "c/c", "z/z")]
+
+
 def test_rule_kind_column(spark):
     table = config.rule_table(spark)
     assert table.where(config.rule_kind(F.col("id")) != F.col("kind")).count() == 0

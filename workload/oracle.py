@@ -344,6 +344,9 @@ def build() -> dict[str, str]:
             GROUP BY ALL"""),
         "ip_facts": f"""WITH intel AS ({W.ip_intel_sql(DUCK)}) SELECT 'IP: ' || q.ip || ' | VT: ' || coalesce({js('vt', *MAL)}, 'N/A') || ' | AbuseIPDB: '
             || coalesce({js('abuse', 'data', 'abuseConfidenceScore')}, 'N/A') || '%' AS fact FROM ({W.quads_sql(DUCK)}) q LEFT JOIN intel i ON q.ip = i.ip""",
+        "file_facts": """SELECT 'Hash: ' || sha256 || ' | Arquivo: ' || filename || ' | VT: ' || CASE WHEN n < 2 THEN 'N/A' ELSE CAST(n AS VARCHAR) END
+            || ' | MB: ' || CASE WHEN n % 3 = 0 THEN 'Mirai' ELSE 'N/A' END AS fact FROM (SELECT sha256, filename, CAST('0x' || left(sha256, 4) AS INT) % 7 AS n
+            FROM (SELECT sha256(text) AS sha256, max('d' || CAST(doc_id AS VARCHAR) || '.txt') AS filename FROM documents GROUP BY 1))""",
         "triage_facts": O.with_(ACCEPTED, """SELECT repo, '[' || severity || '] ' || type || ' | ' || file || ' | ' || replace(description, chr(10), ' ') AS fact FROM accepted"""),
         "url_facts": O.with_(URLS, f"""SELECT 'URL: ' || url || ' | VT: ' || coalesce({js('vt', *MAL)}, 'N/A') || ' | URLHaus: ' || coalesce({js('uh', 'url_status')}, 'N/A') AS fact FROM urls"""),
         "claim_check": O.with_(CLAIMS, "SELECT text_id, kind, value FROM unsupported"),

@@ -344,8 +344,7 @@ def url_report(spark, sf):
     return reports.url_report(reported_urls(spark, sf))
 
 
-@query
-def file_report(spark, sf):
+def reported_files(spark, sf) -> DataFrame:
     hashes = file_hashes(spark, sf)
     n = F.pmod(F.conv(F.substring("sha256", 1, 4), 16, 10).cast("int"), F.lit(7))
     digits = n.cast("string")
@@ -354,7 +353,12 @@ def file_report(spark, sf):
         F.lit('}, "trid": [{"file_type": "Text"}], "size": 1'), digits, F.lit("}}}")))
     mb = F.when(n % 3 == 0, F.lit('{"query_status": "ok", "data": [{"signature": "Mirai"}]}')).when(
         n % 3 == 1, F.lit('{"query_status": "hash_not_found"}')).otherwise(F.lit("{}"))
-    return reports.file_report(hashes.withColumn("virustotal", F.try_parse_json(vt)).withColumn("malwarebazaar", F.try_parse_json(mb)))
+    return hashes.withColumn("virustotal", F.try_parse_json(vt)).withColumn("malwarebazaar", F.try_parse_json(mb))
+
+
+@query
+def file_report(spark, sf):
+    return reports.file_report(reported_files(spark, sf))
 
 
 @query
@@ -437,6 +441,11 @@ def url_facts(spark, sf):
     return claims.url_facts(reported_urls(spark, sf))
 
 
+@query
+def file_facts(spark, sf):
+    return claims.file_facts(reported_files(spark, sf))
+
+
 # --- texts -----------------------------------------------------------------------
 @query
 def claim_check(spark, sf):
