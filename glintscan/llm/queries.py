@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, line_frequency, mixing, near_dedup, secret_scan, simple8b, token_counts, top_k, toxicity, warc
+from . import byte_bpe, fill_in_middle, line_frequency, mixing, near_dedup, secret_scan, simple8b, token_counts, top_k, toxicity, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,8 +67,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix, op3_warc, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k, op10_near_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_mix, op3_warc, op4_token_files, op5_line_frequency, op6_secret_scan, op7_toxicity, op8_byte_bpe, op9_top_k, op10_near_dedup, op13_fill_in_middle)
 }
 #: Twins of the queries that SQL can express over whole tables; the tests hold the others against brute force.
 ORACLE: dict[str, str] = {
@@ -84,4 +90,21 @@ ORACLE: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS hex FROM documents),
+             h AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit,
+                          CAST('0x' || substr(hex, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(hex, 9, 8) AS BIGINT) AS h2,
+                          CAST('0x' || substr(hex, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(hex, 25, 8) AS BIGINT) AS h4 FROM d),
+             c AS (SELECT *, CAST(len(unit) AS BIGINT) AS n, least(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS low,
+                          greatest(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS high,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                               WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+             p AS (SELECT doc_id, text, n, form, array_to_string(unit[1:low], '') AS prefix,
+                          array_to_string(unit[low + 1:high], '') AS middle, array_to_string(unit[high + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
