@@ -12,8 +12,10 @@ A document is its set of word 4-grams, a link a pair with at least 85 % in commo
   ``(a + b - bits) / 2``. In a tile, sets are compared by at most ``FEW_BITS``; a pair that is left, once by a bitmap as long as its sets; only
   pairs whose bound still reaches the threshold go on to the intersection of the sorted arrays. Tiles with the same members are one.
 * **Labels.** Components are all that matters, so first each member of a tile is tried against the tile's smallest id, then against the one
-  whose bitmap is closest; what these link gets one label. Last, all pairs of different labels in a tile are compared, large tiles in blocks
-  of a fixed size, so a group of copies is one label by then, and no tile comes to one task as a whole.
+  whose bitmap is closest; what these link gets one label. Last, all pairs of different labels in a tile are compared by bitmaps. What the
+  bound leaves is not listed pair by pair: a tile gives a spanning forest of its pairs, the components of all forests are the clusters in
+  which every link still missing lies, and a cluster's sets meet once. Large tiles and clusters are compared in blocks of a fixed
+  size, so neither comes to one task as a whole.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ PERCENT = 85
 #: Upper border of a band over its lower one.
 RATIO = Fraction(3, 2)
 LARGEST_SET = 2**31
-#: Most members of a block, and most bits of a bitmap in a tile.
-BLOCK = 700
-FEW_BITS = 1024
+#: Most members of a block, most bytes of its sets (but for a single one), and most bits of a bitmap in a tile or cluster.
+BLOCK, BLOCK_BYTES = 700, 64_000_000
+FEW_BITS, CLUSTER_BITS = 1024, 8192
 
 
 class Band(NamedTuple):
@@ -177,81 +179,122 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long")
 
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one unit after another, from batches sorted by unit and band."""
+def units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of one unit after another, from batches sorted by the keys of a unit; a unit of one row is left out."""
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(p.num_rows for p in parts) > 1:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        unit, band = batch.column("unit").to_numpy(), batch.column("band").to_numpy()
-        cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]) | (band[1:] != band[:-1])) + 1).tolist(), len(unit)]
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:], strict=False):
-            if held and (held[0].column("unit")[0].as_py(), held[0].column("band")[0].as_py()) != (unit[low], band[low]):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if held and any(held[0].column(k)[0].as_py() != key[i, low] for i, k in enumerate(keys)):
+                yield from whole(held)
                 held = []
             held.append(batch.slice(low, high - low))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def candidates(members: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Distinct pairs (``band``, ``a``, ``b``) of a unit with different labels that the bound leaves; with ``closest``, of each member the closest only."""
-    def work(unit: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, label, n = (unit.column(c).to_numpy() for c in ("doc", "label", "n"))
-        bits = bitmaps(unit.column("few"))
-        first, second = [], []
-        best, partner = np.full(len(doc), np.inf), np.full(len(doc), -1)
-        for i in range(len(doc) - 1):
-            rest = np.flatnonzero((label[i + 1:] != label[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)) + i + 1
-            if not len(rest):
-                continue
-            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
-            good = similar_enough(differ.astype(np.int64), n[rest] + n[i], percent)
-            rest, share = rest[good], differ[good] / (n[rest[good]] + n[i])
-            if not len(rest):
-                continue
-            if closest:
-                better = share < best[rest]
-                best[rest[better]], partner[rest[better]] = share[better], i
-                k = int(share.argmin())
-                if share[k] < best[i]:
-                    best[i], partner[i] = share[k], rest[k]
-            else:
-                first.append(np.full(len(rest), i))
-                second.append(rest)
-        if closest:
-            first, second = [np.flatnonzero(partner >= 0)], [partner[partner >= 0]]
-        if first and len(first[0]):
-            x, y = doc[np.concatenate(first)], doc[np.concatenate(second)]
-            yield pa.record_batch([unit.column("band").slice(0, 1).take(pa.array(np.zeros(len(x), int))), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["band", "a", "b"])
+        yield from whole(held)
+
+
+def partners(i: int, bits: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The later members of another label whose bitmaps leave enough overlap with member ``i``, and in which share of bits they differ."""
+    rest = np.flatnonzero((label[i + 1:] != label[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)) + i + 1
+    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    good = similar_enough(differ, n[rest] + n[i], percent)
+    return rest[good], differ[good] / (n[rest[good]] + n[i])
+
+
+def closest(bits: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of each member the partner whose bitmap is closest."""
+    best, partner = np.full(len(n), np.inf), np.full(len(n), -1)
+    for i in range(len(n) - 1):
+        rest, share = partners(i, bits, label, n, percent)
+        better = share < best[rest]
+        best[rest[better]], partner[rest[better]] = share[better], i
+        if len(rest) and share.min() < best[i]:
+            best[i], partner[i] = share.min(), rest[share.argmin()]
+    return [(i, int(partner[i])) for i in np.flatnonzero(partner >= 0).tolist()]
+
+
+def forest(bits: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join all members which partners join."""
+    group, out = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        rest, _ = partners(i, bits, label, n, percent)
+        groups, at = np.unique(group[rest], return_index=True)
+        for g, k in zip(groups.tolist(), at.tolist(), strict=True):
+            if g != group[i]:
+                out.append((i, int(rest[k])))
+        group[np.isin(group, groups)] = group[i]
+    return out
+
+
+def every_pair(bits: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(n) - 1) for j in partners(i, bits, label, n, percent)[0].tolist()]
 
+
+def candidates(members: DataFrame, percent: int, choice: Callable) -> DataFrame:
+    """Distinct pairs (``band``, ``a``, ``b``) that ``choice`` takes from the members of each unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
-            if unit.num_rows > 1:
-                yield from work(unit)
+        for unit in units(batches, ["unit", "band"]):
+            doc, label, n = (unit.column(c).to_numpy() for c in ("doc", "label", "n"))
+            chosen = np.array(choice(bitmaps(unit.column("few")), label, n, percent), np.int64).reshape(-1, 2)
+            if len(chosen):
+                x, y = doc[chosen[:, 0]], doc[chosen[:, 1]]
+                band = np.full(len(x), unit.column("band")[0].as_py(), np.int32)
+                yield pa.record_batch([pa.array(band), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["band", "a", "b"])
 
     rows = members.select("unit", "band", "doc", "label", "n", "few").repartition("unit").sortWithinPartitions("unit", "band")
     return rows.mapInArrow(run, "band int, a long, b long").filter("a <> b").distinct()
 
 
+def merged(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of labels (``a``, ``b``) that links between members (``unit``, ``doc``, ``label``) of a unit join, by exact intersections."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches, ["unit"]):
+            sets = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
+            n, label, out = np.array([len(x) for x in sets]), unit.column("label").to_numpy().copy(), []
+            bits = np.stack([bitmap(x, 64 * -(-min(4 * int(n.max()), CLUSTER_BITS) // 64)) for x in sets])
+            for i in range(len(sets) - 1):
+                rest, share = partners(i, bits, label, n, percent)
+                for j in rest[np.argsort(share, kind="stable")].tolist():
+                    if label[i] == label[j]:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if similar_enough(int(n[i] + n[j]) - 2 * common, int(n[i] + n[j]), percent):
+                        low, high = sorted((int(label[i]), int(label[j])))
+                        out.append((low, high))
+                        label[label == high] = low
+            if out:
+                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    sets = staged(full_sets(docs, members.select("doc"), width))
+    rows = members.select("unit", "doc", "label").join(sets, "doc").select("unit", "label", "shingles").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def band_of(tile: str = "tile") -> Column:
     return F.col(tile).bitwiseAND(255).cast("int")
 
 
 def blocked(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Units (``unit``, ``band``, ``doc``, ``label``) in which all members of a tile with different labels meet.
+    """Units (``unit``, ``tile``, ``doc``, ``label``) in which all members of a tile (``tile``, ``doc``, ``bytes``) with different labels meet.
 
     A tile with few members is a unit. Of a larger one, the members outside its commonest label are dealt out to blocks, those inside
     to other blocks; a unit is two blocks, of which the first is outside.
     """
-    rows = staged(tiles.join(labels, "doc", "left").select("tile", "doc", F.coalesce("label", "doc").alias("label")))
+    rows = staged(tiles.join(labels, "doc", "left").select("tile", "doc", "bytes", F.coalesce("label", "doc").alias("label")))
     facts = (
-        rows.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("tile")
-        .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
-        .filter("labels > 1").select("tile", "n", F.col("m.c").alias("inside"), F.col("m.label").alias("main")))
-    rows = rows.join(staged(facts), "tile")
-    out_blocks = F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
-    in_blocks = F.ceil(F.col("inside") / BLOCK).cast("int")
+        rows.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("c"), F.max("bytes").alias("bytes")).groupBy("tile")
+        .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.max("bytes").alias("most"))
+        .filter("labels > 1").select("tile", "n", F.col("m.c").alias("inside"), F.col("m.label").alias("main"), "most"))
+    rows = rows.join(staged(facts), "tile").withColumn("block", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("most")))))
+    out_blocks = F.ceil((F.col("n") - F.col("inside")) / F.col("block")).cast("int")
+    in_blocks = F.ceil(F.col("inside") / F.col("block")).cast("int")
     mine = lambda blocks: F.pmod(F.xxhash64("doc", "tile"), blocks).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = mine(out_blocks)
@@ -259,9 +302,8 @@ def blocked(tiles: DataFrame, labels: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), own), lambda i: pair(i, own)),
         F.transform(F.filter(F.sequence(F.lit(0), out_blocks + in_blocks - 1), lambda j: j > own), lambda j: pair(own, j)))
     inside = F.transform(F.sequence(F.lit(0), out_blocks - 1), lambda i: pair(i, out_blocks + mine(in_blocks)))
-    where = F.when(F.col("n") <= BLOCK, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("label") == F.col("main"), inside).otherwise(outside)
-    return rows.select("tile", "doc", "label", F.explode(where).alias("w")).select(
-        F.xxhash64("tile", "w.i", "w.j").alias("unit"), band_of().alias("band"), "doc", "label")
+    where = F.when(F.col("n") <= F.col("block"), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("label") == F.col("main"), inside).otherwise(outside)
+    return rows.select("tile", "doc", "label", F.explode(where).alias("w")).select(F.xxhash64("tile", "w.i", "w.j").alias("unit"), "tile", "doc", "label")
 
 
 def label_of(links: DataFrame) -> DataFrame:
@@ -291,21 +333,27 @@ def sets_and_tiles(docs: DataFrame, width: int, percent: int) -> Sets:
     return Sets(staged(members), placed.select("band", "doc", "n", "bits", "few").distinct(), staged(tiles.join(staged(alike.select("tile")), "tile", "left_semi")))
 
 
-def links(docs: DataFrame, sets: Sets, width: int, percent: int, every: bool = False) -> DataFrame:
-    """Links (``a`` < ``b``, ``common``) between representatives: enough for the components, or with ``every`` all there are."""
-    tiles, marks = sets.tiles, sets.marks
-    if every:
-        alone = tiles.select("doc").distinct().select("doc", F.col("doc").alias("label"))
-        met = candidates(blocked(tiles, alone).join(marks, ["band", "doc"]), percent, closest=False)
-        return confirmed(docs, bounded(met, marks, percent), width, percent)
-    centres = tiles.groupBy("tile").agg(F.min("doc").alias("a"))
-    stars = tiles.join(centres, "tile").filter("doc <> a").select(band_of().alias("band"), "a", F.col("doc").alias("b")).distinct()
-    found = staged(confirmed(docs, bounded(stars, marks, percent), width, percent))
-    for closest in (True, False):
-        members = blocked(tiles, label_of(found)).join(marks, ["band", "doc"])
-        met = bounded(candidates(members, percent, closest), marks, percent)
-        found = found.unionByName(staged(confirmed(docs, met, width, percent)))
-    return found
+def stars(sets: Sets) -> DataFrame:
+    """Distinct pairs of the members of a tile with its smallest id."""
+    centres = sets.tiles.groupBy("tile").agg(F.min("doc").alias("a"))
+    return sets.tiles.join(centres, "tile").filter("doc <> a").select(band_of().alias("band"), "a", F.col("doc").alias("b")).distinct()
+
+
+def met(sets: Sets, labels: DataFrame, percent: int, choice: Callable) -> DataFrame:
+    """The pairs that ``choice`` takes from tiles in which labels differ."""
+    members = blocked(sets.tiles.withColumn("bytes", F.lit(FEW_BITS // 8)), labels)
+    return candidates(members.withColumn("band", band_of()).join(sets.marks, ["band", "doc"]), percent, choice)
+
+
+def links(docs: DataFrame, sets: Sets, width: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of representatives whose components are those of all links."""
+    found = staged(confirmed(docs, bounded(stars(sets), sets.marks, percent), width, percent).select("a", "b"))
+    near = bounded(met(sets, label_of(found), percent, closest), sets.marks, percent)
+    found = found.unionByName(staged(confirmed(docs, near, width, percent).select("a", "b")))
+    labels = label_of(found)
+    sizes = sets.marks.groupBy("doc").agg((F.max("n") * 8).alias("bytes"))
+    clusters = label_of(met(sets, labels, percent, forest)).select(F.col("label").alias("tile"), "doc").join(sizes, "doc")
+    return found.unionByName(staged(merged(docs, staged(blocked(clusters, labels)), width, percent)))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -321,7 +369,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     known = sets.members.filter("doc_id IS NOT NULL AND rep IS NOT NULL")
     several = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")  # ids with several texts
     again = known.join(several, "doc_id").select("a", F.col("rep").alias("b")).distinct()
-    found = label_of(links(docs, sets, width, percent).select("a", "b").unionByName(again))
+    found = label_of(links(docs, sets, width, percent).unionByName(again))
     out = sets.members.join(found, F.col("rep") == F.col("doc"), "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
@@ -332,4 +380,6 @@ def pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
 
     Together with the copies (``join`` puts them into one component) this is the whole join; its size is that of the result.
     """
-    return links(docs, sets_and_tiles(docs, width, percent), width, percent, every=True)
+    sets = sets_and_tiles(docs, width, percent)
+    alone = sets.members.filter("rep IS NOT NULL").select(F.col("rep").alias("doc"), F.col("rep").alias("label")).distinct()
+    return confirmed(docs, bounded(met(sets, alone, percent, every_pair), sets.marks, percent), width, percent)
