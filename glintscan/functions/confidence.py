@@ -9,15 +9,18 @@ from glintscan.sqltext import contains_any, lookup
 
 
 def entropy(s: Column) -> Column:
-    """Shannon entropy over characters with the byte length as denominator."""
+    """Shannon entropy over characters with the byte length as denominator.
+
+    The characters are sorted once; each run of equal ones then adds its share.
+    """
     total = F.octet_length(s).cast("double")
 
-    def add(acc: Column, ch: Column) -> Column:
-        p = (F.char_length(s) - F.char_length(F.replace(s, ch, F.lit("")))) / total
+    def add(acc: Column, run: Column) -> Column:
+        p = F.char_length(run) / total
         return acc - p * F.log2(p)
 
-    chars = F.filter(F.array_distinct(F.split(s, "")), lambda ch: ch != "")
-    return F.when(s == "", 0.0).otherwise(F.aggregate(chars, F.lit(0.0), add))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(s, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    return F.when(s == "", 0.0).otherwise(F.aggregate(runs, F.lit(0.0), add))
 
 
 def is_placeholder(s: Column) -> Column:

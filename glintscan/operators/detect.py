@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from glintscan import catalogue as K
 from glintscan.catalogue import Rule
 from glintscan.functions import confidence as C, context as X, network as N
-from glintscan.sqltext import FLAGS, quote
+from glintscan.sqltext import FLAGS, quote, remembered
 
 # Order of the detectors within a file; also the tie-break of later steps.
 STAGES = ["js", "secret", "suspicious", "entropy", "base64", "hex", "urlenc", "chars", "url"]
@@ -144,21 +144,26 @@ def content_candidates() -> list[Column]:
     ]
 
 
-def candidates(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``files(repo, path, name, content)`` → one row per candidate, content dropped."""
+@remembered
+def candidate_columns(rules: tuple[Rule, ...], kept_names: tuple[str, ...]) -> tuple[list[Column], ...]:
+    whole = gated(F.col("name").isin(*kept_names), F.array("content"), "whole") if kept_names else _none(TOKEN)
     return (
-        files.select("repo", "path", "content", X.extension(F.col("name")).alias("ext"))
-        .select(
-            "*", X.comment_family(F.col("ext")).alias("family"), X.file_context(F.col("path")).alias("file_context"),
-            X.is_safe_context(F.col("path"), F.col("ext")).alias("safe"),
-        )
-        .select(
-            "repo", "path", "ext", "file_context", "safe",
-            F.inline(F.concat(line_candidates(rules), *content_candidates())),
-        )
+        ["repo", "path", "name", "content", X.extension(F.col("name")).alias("ext")],
+        ["*", X.comment_family(F.col("ext")).alias("family"), X.file_context(F.col("path")).alias("file_context"),
+         X.is_safe_context(F.col("path"), F.col("ext")).alias("safe")],
+        ["repo", "path", "name", "ext", "file_context", "safe", F.inline(F.concat(line_candidates(rules), *content_candidates(), whole))],
     )
 
 
+def candidates(files: DataFrame, rules: Sequence[Rule], kept_names: Sequence[str] = ()) -> DataFrame:
+    """``files(repo, path, name, content)`` → one row per candidate, content dropped.
+
+    Files of ``kept_names`` leave their content as one more candidate of the kind ``whole``, so that a caller who needs it
+    too does not read all content again.
+    """
+    return reduce(lambda df, columns: df.select(*columns), candidate_columns(tuple(rules), tuple(kept_names)), files)
+
+
 # ---------------------------------------------------------------------------
 # Candidates to hits (row-local).  The array of possible hits is SQL text: it
 # repeats one CASE per rule, and every pattern stays a literal in the plan.
@@ -298,8 +303,13 @@ def decoded_chars(token: Column) -> Column:
     return F.when(fine, F.array_join(F.transform(codes, F.chr), ""))
 
 
-def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Candidates to single hits with a confidence before file context; still no shuffle."""
+SINGLE = ["repo", "path", "ext", "file_context", "pos", "marker", "comment", "is_line", "row_kind", "stage", "rule_no", "type",
+          "description", "base", "once"]
+
+
+@remembered
+def hit_columns(rules: tuple[Rule, ...]) -> list[list[Column]]:
+    """The steps from candidates to hits, each a list of columns over the one before."""
     kind, txt = F.col("kind"), F.col("txt")
     decoded = (
         F.when(kind == "base64", decoded_base64(txt))
@@ -307,20 +317,15 @@ def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .when(kind == "urlenc", decoded_percent(txt))
         .when(kind == "chars", decoded_chars(txt))
     )
-    prepared = cands.select(
+    prepared = [
         "*", decoded.alias("decoded"), X.blank_trim(txt).alias("trimmed"),
         F.col("ext").isin(K.JS_EXTENSIONS).alias("is_js"),
         (~F.col("safe") & ~X.is_import_or_log(txt)).alias("talks"),
         ((kind == "line") & X.is_comment(txt, F.col("ext"))).alias("comment"),
-    )
-    by_rule = prepared.select(
-        "repo", "path", "ext", "file_context", "pos", "marker", "comment",
-        (kind == "line").alias("is_line"), F.inline(possible_hits(rules)),
-    )
-    single = by_rule.select(
-        *[c for c in by_rule.columns if c != "found"], F.posexplode("found").alias("match_no", "match_content"),
-        F.col("found").alias("found"),
-    )
+    ]
+    by_rule = ["repo", "path", "ext", "file_context", "pos", "marker", "comment",
+               (kind == "line").alias("is_line"), F.inline(possible_hits(rules))]
+    single = [*SINGLE, "before", F.posexplode("found").alias("match_no", "match_content"), F.col("found").alias("found")]
     # the text before a match: since the previous match, or that match when nothing but blanks lies between
     n = F.col("match_no")
     tail = F.coalesce(
@@ -332,11 +337,11 @@ def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     at = lambda *names: stage.isin([STAGE[x] for x in names])
     is_url = F.col("row_kind").isin("both", "ioc")
     host = F.when(is_url, N.url_host(match))
-    measured = single.select(
-        *[c for c in single.columns if c not in ("before", "found")], tail.alias("assigned"),
+    measured = [
+        *SINGLE, "match_no", "match_content", tail.alias("assigned"),
         F.when(at("secret", "suspicious", "entropy"), C.entropy(match)).alias("bits"),
         host.alias("host"), F.when(N.is_numeric_host(host), N.ipv4_value(host)).alias("address"),
-    )
+    ]
     confidence = (
         F.when(at("secret", "suspicious"), C.pattern_confidence(base, match, F.col("bits"), F.col("assigned")))
         .when(at("entropy"), C.entropy_confidence(F.col("bits")))
@@ -354,11 +359,31 @@ def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .when(F.col("row_kind") == "both", F.array(F.lit("finding"), F.lit("ioc")))
         .otherwise(F.array("row_kind"))
     )
-    return measured.select(
+    scored = [
         "repo", F.col("path").alias("file"), "ext", "file_context", "is_line", "pos", "marker", "comment",
         "stage", "rule_no", "match_no", "type", description.alias("description"), "match_content",
         confidence.alias("confidence"), "once", F.explode(row_kinds).alias("row_kind"),
-    )
+    ]
+    return [prepared, by_rule, single, measured, scored]
+
+
+def scored_hits(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Candidates to single hits with a confidence before file context; still no shuffle."""
+    return reduce(lambda df, columns: df.select(*columns), hit_columns(tuple(rules)), cands)
+
+
+@remembered
+def state_columns() -> tuple[Column, ...]:
+    """Last marker, toggles and toggles at the last reset on the lines before, and the state that follows from them."""
+    earlier_lines = Window.partitionBy("repo", "file").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.col("row_kind") == "mark", F.col("marker"))
+    toggles = F.coalesce(F.sum(F.when(mark == "T", 1).otherwise(0)).over(earlier_lines), F.lit(0))
+    in_block = F.col("is_line") & F.when(
+        F.col("ext") == "py",
+        F.col("marker").isNotNull() | ((F.col("toggles") - F.coalesce("at_reset", F.lit(0))) % 2 == 1),
+    ).otherwise(F.col("last_mark").eqNullSafe("O") | F.col("marker").eqNullSafe("O"))
+    return (F.last(mark, ignorenulls=True).over(earlier_lines).alias("last_mark"), toggles.alias("toggles"),
+            F.last(F.when(mark == "S", F.col("toggles")), ignorenulls=True).over(earlier_lines).alias("at_reset"), in_block.alias("in_block"))
 
 
 def block_state(rows: DataFrame) -> DataFrame:
@@ -367,53 +392,45 @@ def block_state(rows: DataFrame) -> DataFrame:
     C family: the last earlier marker was an opening, or this line opens.
     Python: an odd number of toggles since the last one-line docstring.
     """
-    earlier_lines = (
-        Window.partitionBy("repo", "file").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
-    )
-    mark = F.when(F.col("row_kind") == "mark", F.col("marker"))
-    toggles = F.coalesce(F.sum(F.when(mark == "T", 1).otherwise(0)).over(earlier_lines), F.lit(0))
-    return (
-        rows.withColumn("last_mark", F.last(mark, ignorenulls=True).over(earlier_lines))
-        .withColumn("toggles", toggles)
-        .withColumn("at_reset", F.last(F.when(mark == "S", F.col("toggles")), ignorenulls=True).over(earlier_lines))
-        .withColumn(
-            "in_block",
-            F.col("is_line") & F.when(
-                F.col("ext") == "py",
-                F.col("marker").isNotNull() | ((F.col("toggles") - F.coalesce("at_reset", F.lit(0))) % 2 == 1),
-            ).otherwise(F.col("last_mark").eqNullSafe("O") | F.col("marker").eqNullSafe("O")),
-        )
-        .drop("last_mark", "toggles", "at_reset")
-    )
-
+    last_mark, toggles, at_reset, in_block = state_columns()
+    return rows.select("*", last_mark, toggles).select("*", at_reset).select(*[F.col(c) for c in rows.columns], in_block)
 
-def hits(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Findings and indicators of all files in one DataFrame (``row_kind``).
 
-    The hits are spread by file before the window; ``once`` rows (most kinds)
-    keep only the first hit of their kind in the file.
-    """
-    rules = K.shipped_rules() if rules is None else compile_rules(rules)
-    rows = scored_hits(candidates(files, rules), rules)
-    rows = rows.withColumn("line_no", F.when(F.col("is_line"), F.col("pos")).otherwise(-1))
-    live = block_state(rows).where((F.col("row_kind") != "mark") & (~F.col("comment") | F.col("in_block")))
+@remembered
+def final_columns() -> list[list[Column]]:
     damp = F.when(F.col("in_block"), 0.1).otherwise(1.0)
     by_match = (F.col("row_kind") == "ioc") | (F.col("stage") == STAGE["base64"])
     kind_key = F.when(by_match, F.col("match_content")).otherwise(F.concat_ws("\u0001", "type", "description"))
     order = [F.col(c) for c in ("stage", "line_no", "pos", "rule_no", "match_no")]
     first = Window.partitionBy("repo", "file", "row_kind", "once", "kind_key").orderBy(*order)
-    return (
-        live.withColumn("confidence", C.clamp(
-            F.col("confidence") * X.context_multiplier(F.col("file_context")) * damp))
-        .withColumn("kind_key", kind_key)
-        .withColumn("nth", F.row_number().over(first))
-        .where(~F.col("once") | (F.col("nth") == 1))
-        .select(
-            "row_kind", "repo", "file",
-            *[F.when(F.col("row_kind") == "finding", F.col(c)).alias(c) for c in ("type", "description")], "match_content",
-            F.when(F.col("row_kind") == "finding", F.col("confidence")).alias("confidence"), "file_context", *SEQUENCE,
-        )
-    )
+    is_finding = F.col("row_kind") == "finding"
+    return [
+        ["*", F.when(F.col("is_line"), F.col("pos")).otherwise(-1).alias("line_no")],
+        ["row_kind", "repo", "file", "type", "description", "match_content", "file_context", "stage", "line_no",
+         "pos", "rule_no", "match_no", "once", kind_key.alias("kind_key"),
+         C.clamp(F.col("confidence") * X.context_multiplier(F.col("file_context")) * damp).alias("confidence")],
+        ["*", F.row_number().over(first).alias("nth")],
+        ["row_kind", "repo", "file", *[F.when(is_finding, F.col(c)).alias(c) for c in ("type", "description")], "match_content",
+         F.when(is_finding, F.col("confidence")).alias("confidence"), "file_context", *SEQUENCE],
+    ]
+
+
+def hits(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Findings and indicators of all files in one DataFrame (``row_kind``)."""
+    rules = K.shipped_rules() if rules is None else compile_rules(rules)
+    return hits_of(candidates(files, rules), rules)
+
+
+def hits_of(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Candidates to findings and indicators.
+
+    The hits are spread by file before the window; ``once`` rows (most kinds)
+    keep only the first hit of their kind in the file.
+    """
+    line_no, live, nth, out = final_columns()
+    rows = block_state(scored_hits(cands.where("kind <> 'whole'"), rules).select(*line_no))
+    rows = rows.where("row_kind <> 'mark' AND (NOT comment OR in_block)").select(*live).select(*nth)
+    return rows.where("NOT once OR nth = 1").select(*out)
 
 
 def findings_of(hit_rows: DataFrame) -> DataFrame:

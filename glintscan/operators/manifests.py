@@ -17,12 +17,13 @@ OUT = ["repo", "path", "manifest", "name", "version"]
 ROWS = "array<struct<kind:string,line_no:int,name:string,version:string,line:string>>"
 JSON_FORMATS = ["package.json", "package-lock.json", "Pipfile.lock", "composer.lock"]
 LINE_FORMATS = ["yarn.lock", "requirements.txt", "Cargo.lock", "go.sum", "Gemfile.lock", "pyproject.toml"]
+NAMES = JSON_FORMATS + LINE_FORMATS
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
 def manifest_files(files: DataFrame) -> DataFrame:
     """Name filter first: the content of other files is never decoded."""
-    return files.where(F.col("name").isin(JSON_FORMATS + LINE_FORMATS)).select(
+    return files.where(F.col("name").isin(NAMES)).select(
         "repo", "path", F.col("name").alias("manifest"), "content"
     )
 

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from glintscan import catalogue as K
 from glintscan.catalogue import Rule
 from glintscan.operators import correlate, dedup, detect, filters, lookup, manifests, score, triage, verdict
-from glintscan.sources import state as S
+from glintscan.sources import snapshots, staging, state as S
 from glintscan.sources.files import within_limit
 
 STATE_FINDING = [
@@ -34,15 +35,17 @@ def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
     The comparison reads keys and hashes only.  Content is then picked by the
     changed keys, which are broadcast when they turn out to be few.
     """
-    old = state.select("repo", "path", F.col("content_hash").alias("sha"))
-    changed = files.select("repo", "path", "sha").join(old, ["repo", "path", "sha"], "left_anti")
-    return files.join(changed, ["repo", "path", "sha"], "left_semi")
+    hashed = files.withColumn("_sha", F.coalesce("sha", F.lit("")))  # a file without a hash is new unless the state has it so
+    old = state.select("repo", "path", F.coalesce("content_hash", F.lit("")).alias("_sha"))
+    changed = hashed.select("repo", "path", "_sha").join(old, ["repo", "path", "_sha"], "left_anti")
+    return hashed.join(changed, ["repo", "path", "_sha"], "left_semi").select(*files.columns)
 
 
 def unchanged_state(files: DataFrame, state: DataFrame) -> DataFrame:
     """State rows of files that are still there as they were."""
-    now = files.select("repo", "path", F.col("sha").alias("content_hash"))
-    return state.join(now, ["repo", "path", "content_hash"], "left_semi")
+    now = files.select("repo", "path", F.coalesce("sha", F.lit("")).alias("_sha"))
+    known = state.withColumn("_sha", F.coalesce("content_hash", F.lit("")))
+    return known.join(now, ["repo", "path", "_sha"], "left_semi").select(*state.columns)
 
 
 def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fix: bool = False,
@@ -52,6 +55,9 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
     One row per version of a file (repo, path, hash) with its findings, indicators and dependencies: every
     list is limited by the size of the file.  Review candidates are stored
     too, with their disposition.  Files without hits keep a row with their hash.
+
+    The content is read once: what scan and manifests need of it (lines and tokens that may be hits, and the manifests)
+    is written to the shared folder first, and both go on from there.
     """
     # the hash travels in front of the repository, so that it is in the key of every branch
     files = files.withColumn("repo", F.concat_ws("\n", F.coalesce("sha", F.lit("")), F.coalesce("repo", F.lit(""))))
@@ -67,14 +73,16 @@ def scanned_state(files: DataFrame, rules: Sequence[Rule] | None = None, case_fi
         return F.struct(*[
             (F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in STATE_FINDING]).cast(S.FINDING)
 
-    # findings and indicators leave the scan together, so the content is scanned once
-    hits = triage.triage(scan(chosen, rules), severity).withColumn("ioc", F.col("match_content"))
+    rules = K.shipped_rules() if rules is None else detect.compile_rules(rules)
+    cands = staging.stage(detect.candidates(chosen, rules, manifests.NAMES))
+    hits = triage.triage(detect.hits_of(cands, rules), severity).withColumn("ioc", F.col("match_content"))
     is_ioc = F.col("row_kind") == "ioc"
     from_hits = part(
         hits.where(is_ioc | (F.col("disposition") != "discard")), "file",
         F.when(~is_ioc, finding(hits)), F.when(is_ioc, F.struct(*STATE_IOC).cast(S.IOC)), no_dependency,
     )
-    manifest = manifests.manifest_rows(chosen).withColumn(
+    wholes = cands.where("kind = 'whole'").select("repo", "path", "name", F.col("txt").alias("content"))
+    manifest = manifests.manifest_rows(wholes).withColumn(
         "hook", F.explode_outer(F.when(F.col("kind") == "script", manifests.hook_findings()))
     ).select("*", "hook.*").withColumn("disposition", F.lit("accept"))
     from_manifests = part(
@@ -101,6 +109,18 @@ def rescan(files: DataFrame, state: DataFrame, rules: Sequence[Rule] | None = No
     return unchanged_state(files, state).unionByName(fresh)
 
 
+def apply_changes(state: DataFrame, changes: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The next snapshot from a feed of changes (``repo``, ``path``, ``name``, ``sha``, ``content``, ``deleted``, ``seq``).
+
+    A tombstone (``deleted``) removes the file, any other change replaces what the state holds of it; of several changes of a file
+    the one with the greatest ``seq`` counts. Files that no change names keep their rows, and their content is not read.
+    """
+    newest = snapshots.newest_changes(changes)
+    gone = newest.select("repo", "path").distinct()
+    fresh = scanned_state(newest.where("NOT coalesce(deleted, false)").drop("deleted", "seq"), rules)
+    return state.join(gone, ["repo", "path"], "left_anti").unionByName(fresh)
+
+
 def findings_of(state: DataFrame) -> DataFrame:
     return state.select("repo", F.col("path").alias("file"), F.inline("findings"))
 
@@ -118,7 +138,7 @@ def analyse(state: DataFrame, advisories: DataFrame | None = None, intel: DataFr
     """Enrich a written snapshot: findings, iocs, dependencies and scores per repository.
 
     Read ``state`` from the written table, so that the scan is not repeated by
-    every result.
+    every result.  Findings with their correlation are written to the shared folder once, since three results need them.
     """
     found = findings_of(state)
     base = triage.accepted(found)
@@ -133,7 +153,7 @@ def analyse(state: DataFrame, advisories: DataFrame | None = None, intel: DataFr
     findings = base
     for e in extra:
         findings = findings.unionByName(e, allowMissingColumns=True)
-    findings = correlate.correlate(findings, iocs)
+    findings = staging.stage(correlate.correlate(findings, iocs))
     unique = dedup.deduplicate(findings)
     return {
         "findings": unique, "locations": dedup.finding_locations(findings), "iocs": iocs, "dependencies": deps,

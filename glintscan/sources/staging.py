@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or where it is unset the warehouse; the driver and all executors share both."""
+    """The folder named by ``spark.checkpoint.dir``, or where it is unset the warehouse.
+
+    The driver and all executors of a cluster must share it: a warehouse that is left at its default is a folder beside the driver,
+    which only a local master can use.
+    """
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glintscan import catalogue as K
@@ -12,6 +16,27 @@ from glintscan import catalogue as K
 FLAGS = "(?Ud)"
 
 
+def remembered(make: Callable[..., Any]) -> Callable[..., Any]:
+    """Keeps the columns that ``make`` builds for its arguments.
+
+    Building a column is a call to the JVM for each of its parts. Columns that only name their inputs fit every plan, so one JVM
+    needs them once; another JVM starts anew.
+    """
+    kept: dict[Any, Any] = {}
+
+    @functools.wraps(make)
+    def get(*args: Any) -> Any:
+        key = repr(args)
+        if kept.get("gateway") is not SparkContext._gateway:
+            kept.clear()
+            kept["gateway"] = SparkContext._gateway
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return get
+
+
 def quote(text: str) -> str:
     """A Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

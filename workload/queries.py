@@ -13,8 +13,8 @@ from glintscan.operators import (
     claims, correlate, dedup, detect, filters, lines, lookup, manifests, score, triage, verdict,
 )
 from glintscan.plans import reports, repository
-from glintscan.sources import files as src_files, state, targets
-from glintscan.sources.staging import shared_folder
+from glintscan.sources import files as src_files, snapshots, state, targets
+from glintscan.sources.staging import shared_folder, stage
 from workload import tables as W
 from workload.corpus import SPARK, files, load
 
@@ -46,10 +46,10 @@ def detail(df: DataFrame) -> DataFrame:
     return df.select(*[r9(c) if c == "confidence" else c for c in DETAIL])
 
 
-def scanned(spark, sf) -> DataFrame:
+def scanned(spark, sf, corpus: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """``glintscan.scan.partitions`` deals a small corpus out over the cores; a large one is scanned as it is read."""
     partitions = spark.conf.get("glintscan.scan.partitions", None)
-    return repository.scan(files(spark, sf), partitions=int(partitions) if partitions else None)
+    return repository.scan(files(spark, sf) if corpus is None else corpus, rules, partitions=int(partitions) if partitions else None)
 
 
 def triaged(spark, sf) -> DataFrame:
@@ -182,7 +182,7 @@ def scan_summary(spark, sf):
 
 @query
 def custom_rule_tokens(spark, sf):
-    return detail(detect.findings_of(repository.scan(table(spark, sf, W.custom_files_sql(SPARK)), CUSTOM_RULES)).where("stage IN (1, 2)"))
+    return detail(detect.findings_of(scanned(spark, sf, table(spark, sf, W.custom_files_sql(SPARK)), CUSTOM_RULES)).where("stage IN (1, 2)"))
 
 
 # --- triage to score -----------------------------------------------------------
@@ -214,10 +214,15 @@ def risk_score(spark, sf):
 
 @query
 def correlated_findings(spark, sf):
-    """Findings that triage accepted or a verdict kept; discarded and unreviewed hits lend no weight."""
-    judged = verdict.apply_verdicts(candidates(spark, sf), table(spark, sf, W.verdicts_sql(SPARK)))
-    kept = accepted(spark, sf).unionByName(judged, allowMissingColumns=True)
-    return correlate.correlate(kept, indicators(spark, sf)).select(
+    """Findings that triage accepted or a verdict kept; discarded and unreviewed hits lend no weight.
+
+    The hits of the one scan are written once, for they are needed as accepted findings, as candidates and as indicators.
+    """
+    hits = stage(scanned(spark, sf))
+    found = triage.triage(detect.findings_of(hits))
+    judged = verdict.apply_verdicts(triage.review_candidates(found), table(spark, sf, W.verdicts_sql(SPARK)))
+    kept = triage.accepted(found).unionByName(judged, allowMissingColumns=True)
+    return correlate.correlate(kept, detect.iocs_of(hits)).select(
         "repo", "file", "type", "description", "severity", "correlated", "line_no", "match_no")
 
 
@@ -303,6 +308,30 @@ def incremental_rescan(spark, sf):
     return reuse.unionByName(fresh)
 
 
+@query
+def file_changes(spark, sf):
+    """What a re-scan does with every file of two snapshots; every seventh file of the old one is gone in the new one."""
+    now = files(spark, sf).select("repo", "path", F.sha2("content", 256).alias("sha")).where("pmod(length(path) * 31 + length(repo), 7) <> 0")
+    old = spark.sql(W.state_sql(SPARK))
+    steps = {"reuse": repository.unchanged_state(now, old), "scan": repository.changed_files(now, old), "delete": snapshots.deleted_files(now, old)}
+    out = None
+    for action, keys in steps.items():
+        part = keys.select("repo", "path", F.lit(action).alias("action"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def bucketed_rescan(spark, sf):
+    """Changed files by tables bucketed alike: content is streamed past the keys of the state, without an exchange."""
+    name = uuid.uuid4().hex
+    now = files(spark, sf).select("repo", "path", F.sha2("content", 256).alias("sha"), "content")
+    now = snapshots.write_bucketed(now, f"files_{name}", 8)
+    old = snapshots.write_bucketed(spark.sql(W.state_sql(SPARK)), f"state_{name}", 8)
+    changed = snapshots.changed_in_place(now, old)
+    return changed.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
 # --- targets and reports ---------------------------------------------------------
 @query
 def target_list(spark, sf):
@@ -391,7 +420,7 @@ def report_metadata(spark, sf):
 
 @query
 def repository_facts(spark, sf):
-    hits = scanned(spark, sf)
+    hits = stage(scanned(spark, sf))
     found = triage.accepted(triage.triage(detect.findings_of(hits)))
     iocs = lookup.ioc_reputation(detect.iocs_of(hits).select("repo", "ioc", "source_file"), url_intel(spark, sf))
     scores = score.risk_scores(dedup.deduplicate(found), files(spark, sf))
