@@ -9,13 +9,13 @@ A document is its set of word 4-grams, a link a pair with at least 85 % in commo
   equal in one part; a part is some five elements, so texts that merely share a passage do not meet. Equal *empty* parts say nothing,
   so there are ``spare`` more parts than that, and only a set with more empty parts than ``spare`` uses its empty ones.
 * **Bitmaps.** Every set has a bitmap of parities. Counting the bits in which two bitmaps differ bounds the overlap from above:
-  ``(a + b - bits) / 2``. In a tile, sets are compared by at most ``FEW_BITS``; a pair that is left, once by a bitmap as long as its sets; only
+  ``(a + b - bits) / 2``. In a tile, sets are compared by at most ``FEW_BITS``; what is left, by bitmaps as long as the sets; only
   pairs whose bound still reaches the threshold go on to the intersection of the sorted arrays. Tiles with the same members are one.
 * **Labels.** Components are all that matters, so first each member of a tile is tried against the tile's smallest id, then against the one
   whose bitmap is closest; what these link gets one label. Last, all pairs of different labels in a tile are compared by bitmaps. What the
   bound leaves is not listed pair by pair: a tile gives a spanning forest of its pairs, the components of all forests are the clusters in
-  which every link still missing lies, and a cluster's sets meet once. Large tiles and clusters are compared in blocks of a fixed
-  size, so neither comes to one task as a whole.
+  which every link still missing lies. Long bitmaps divide the clusters again in the same way, and what is left meets once as sets. Large
+  tiles and clusters are compared in blocks of a fixed size, so neither comes to one task as a whole.
 """
 
 from __future__ import annotations
@@ -237,18 +237,18 @@ def every_pair(bits: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int)
     return [(i, j) for i in range(len(n) - 1) for j in partners(i, bits, label, n, percent)[0].tolist()]
 
 
-def candidates(members: DataFrame, percent: int, choice: Callable) -> DataFrame:
-    """Distinct pairs (``band``, ``a``, ``b``) that ``choice`` takes from the members of each unit."""
+def candidates(members: DataFrame, percent: int, choice: Callable, bits: str = "few") -> DataFrame:
+    """Distinct pairs (``band``, ``a``, ``b``) that ``choice`` takes from the members of each unit by the bitmaps ``bits``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, ["unit", "band"]):
             doc, label, n = (unit.column(c).to_numpy() for c in ("doc", "label", "n"))
-            chosen = np.array(choice(bitmaps(unit.column("few")), label, n, percent), np.int64).reshape(-1, 2)
+            chosen = np.array(choice(bitmaps(unit.column("bits")), label, n, percent), np.int64).reshape(-1, 2)
             if len(chosen):
                 x, y = doc[chosen[:, 0]], doc[chosen[:, 1]]
                 band = np.full(len(x), unit.column("band")[0].as_py(), np.int32)
                 yield pa.record_batch([pa.array(band), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["band", "a", "b"])
 
-    rows = members.select("unit", "band", "doc", "label", "n", "few").repartition("unit").sortWithinPartitions("unit", "band")
+    rows = members.select("unit", "band", "doc", "label", "n", F.col(bits).alias("bits")).repartition("unit").sortWithinPartitions("unit", "band")
     return rows.mapInArrow(run, "band int, a long, b long").filter("a <> b").distinct()
 
 
@@ -345,6 +345,14 @@ def met(sets: Sets, labels: DataFrame, percent: int, choice: Callable) -> DataFr
     return candidates(members.withColumn("band", band_of()).join(sets.marks, ["band", "doc"]), percent, choice)
 
 
+def divided(sets: Sets, clusters: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Clusters (``doc``, ``label``) within which the full bitmaps leave a link between different labels, from coarser ones."""
+    marks = sets.marks.join(clusters.withColumnRenamed("label", "cluster"), "doc")
+    tile = F.xxhash64("cluster", "band").bitwiseAND(-256).bitwiseOR(F.col("band").cast("long"))
+    members = blocked(marks.select(tile.alias("tile"), "doc", F.octet_length("bits").alias("bytes")), labels)
+    return label_of(candidates(members.withColumn("band", band_of()).join(sets.marks, ["band", "doc"]), percent, forest, "bits"))
+
+
 def links(docs: DataFrame, sets: Sets, width: int, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of representatives whose components are those of all links."""
     found = staged(confirmed(docs, bounded(stars(sets), sets.marks, percent), width, percent).select("a", "b"))
@@ -352,7 +360,8 @@ def links(docs: DataFrame, sets: Sets, width: int, percent: int) -> DataFrame:
     found = found.unionByName(staged(confirmed(docs, near, width, percent).select("a", "b")))
     labels = label_of(found)
     sizes = sets.marks.groupBy("doc").agg((F.max("n") * 8).alias("bytes"))
-    clusters = label_of(met(sets, labels, percent, forest)).select(F.col("label").alias("tile"), "doc").join(sizes, "doc")
+    clusters = divided(sets, label_of(met(sets, labels, percent, forest)), labels, percent)
+    clusters = clusters.select(F.col("label").alias("tile"), "doc").join(sizes, "doc")
     return found.unionByName(staged(merged(docs, staged(blocked(clusters, labels)), width, percent)))
 
 
