@@ -27,6 +27,12 @@ SCORES = DEDUP + [
 IOCS = HITS + ["iocs AS MATERIALIZED (SELECT repo, match_content AS ioc, file AS source_file, stage FROM hits WHERE row_kind = 'ioc')"]
 
 
+def ordered(version: str) -> str:
+    """The numbers of a dotted version, three of them, as a list that compares in order; NULL where it has other parts."""
+    parts = f"string_split({version} || '.0.0.0', '.')"
+    return f"CASE WHEN regexp_full_match({version}, '[0-9]+([.][0-9]+){{0,2}}') THEN list_transform({parts}[1:3], lambda x: CAST(x AS BIGINT)) END"
+
+
 def js(doc: str, *path: str) -> str:
     return f"json_extract_string({doc}, '$.{'.'.join(path)}')"
 
@@ -282,6 +288,7 @@ def build() -> dict[str, str]:
         "hidden_base64": stage("base64"), "hidden_hex": stage("hex"), "hidden_urlenc": stage("urlenc"), "hidden_chararray": stage("chars"),
         "public_iocs": O.with_(IOCS, "SELECT repo, ioc, source_file, stage FROM iocs"),
         "scan_summary": O.with_(HITS, "SELECT repo, row_kind, type, count(*) AS n, round(sum(confidence), 6) AS confidence_sum FROM hits GROUP BY ALL"),
+        "part_findings": O.with_(HITS, f"SELECT {DETAIL} FROM hits WHERE row_kind = 'finding'"),
         "custom_rule_tokens": custom_sql(),
         "triage_findings": O.with_(TRIAGED, f"SELECT {DETAIL}, severity, disposition FROM triaged"),
         "confident_findings": O.with_(HITS, f"SELECT {DETAIL} FROM hits WHERE row_kind = 'finding' AND hits.confidence >= CAST(0.8 AS DOUBLE)"),
@@ -309,6 +316,15 @@ def build() -> dict[str, str]:
             """SELECT DISTINCT repo, file, type, description, severity FROM (SELECT repo, manifest AS file, CASE WHEN mal THEN 'Malicious Dependency' ELSE 'Vulnerable Dependency' END AS type,
                  CASE WHEN mal THEN 'Dependencia maliciosa: ''' ELSE 'Dependencia vulneravel: ''' END || name || ''' (IDs: ' || string_agg(id, ', ' ORDER BY id) || ')' AS description,
                  CASE WHEN mal THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM found GROUP BY repo, manifest, name, version, mal)"""),
+        "vulnerable_ranges": O.with_(MERGED + [
+            f"rng AS ({W.ranges_sql(DUCK)})",
+            f"e AS (SELECT *, {O.case_of('manifest', K.ECOSYSTEMS, '')} AS ecosystem FROM deps)",
+            f"""found AS (SELECT DISTINCT e.repo, e.manifest, e.name, e.version, rng.id, starts_with(rng.id, 'MAL-') AS mal FROM e JOIN rng USING (ecosystem, name)
+                 WHERE e.version = '' OR ({ordered('e.version')} >= {ordered('rng.introduced')} AND ({ordered('e.version')} < {ordered('rng.fixed')} OR rng.fixed IS NULL))"""
+            ")"],
+            """SELECT DISTINCT repo, manifest AS file, CASE WHEN mal THEN 'Malicious Dependency' ELSE 'Vulnerable Dependency' END AS type,
+                 CASE WHEN mal THEN 'Dependencia maliciosa: ''' ELSE 'Dependencia vulneravel: ''' END || name || ''' (IDs: ' || string_agg(id, ', ' ORDER BY id) || ')' AS description,
+                 CASE WHEN mal THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM found GROUP BY repo, manifest, name, version, mal"""),
         "ioc_reputation": O.with_(LOOKED, f"""SELECT repo, ioc, source_file, CASE WHEN known THEN 'ok' ELSE 'missing' END AS lookup,
             CAST({js('vt', *MAL)} AS BIGINT) AS malicious, {uh_status('uh')} AS urlhaus_status FROM looked"""),
         "ioc_counts": O.with_(IOCS, "SELECT repo, count(DISTINCT ioc) AS distinct_iocs FROM iocs GROUP BY repo"),

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glintscan.catalogue import Rule
 from glintscan.functions import confidence as C, context as X, intel as I, network as N, text as T
 from glintscan.operators import (
-    claims, correlate, dedup, detect, filters, lines, lookup, manifests, score, triage, verdict,
+    claims, correlate, dedup, detect, filters, lines, lookup, manifests, parts, ranges, score, triage, verdict,
 )
 from glintscan.plans import reports, repository
 from glintscan.sources import files as src_files, snapshots, state, targets
+from glintscan.sources.parts import cut_files
 from glintscan.sources.staging import shared_folder, stage
 from workload import tables as W
 from workload.corpus import SPARK, files, load
@@ -180,6 +181,12 @@ def scan_summary(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence_sum"))
 
 
+@query
+def part_findings(spark, sf):
+    """Every file cut after at least 64 characters and scanned in parts: what a scan of whole files finds."""
+    return detail(detect.findings_of(parts.hits(cut_files(files(spark, sf), 64))))
+
+
 @query
 def custom_rule_tokens(spark, sf):
     return detail(detect.findings_of(scanned(spark, sf, table(spark, sf, W.custom_files_sql(SPARK)), CUSTOM_RULES)).where("stage IN (1, 2)"))
@@ -272,6 +279,13 @@ def vulnerable_deps(spark, sf):
     return lookup.vulnerable_dependencies(deps, table(spark, sf, W.advisories_sql(SPARK)))
 
 
+@query
+def vulnerable_ranges(spark, sf):
+    """Advisories with an introduced and a fixed version, where versions compare by their numbers."""
+    deps = manifests.merged_dependencies(manifests.dependencies(manifest_table(spark, sf)))
+    return ranges.range_findings(deps, table(spark, sf, W.ranges_sql(SPARK)))
+
+
 def url_intel(spark, sf):
     return as_reports(table(spark, sf, W.url_intel_sql(SPARK)), "vt", "uh").select(
         "url", F.col("vt").alias("virustotal"), F.col("uh").alias("urlhaus"))

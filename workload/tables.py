@@ -50,6 +50,15 @@ def advisories_sql(d: Dialect) -> str:
   CASE WHEN p_partkey % 5 = 0 THEN 'MAL-' ELSE 'GHSA-' END || {s('p_partkey')} AS id FROM part"""
 
 
+def ranges_sql(d: Dialect) -> str:
+    """``(ecosystem, name, introduced, fixed, id)``: overlapping ranges, every seventh of them without an end."""
+    ecosystem = d.choose(d.idiv.format("p_partkey", "10") + " % 6", ["npm", "PyPI", "crates.io", "Go", "RubyGems", "Packagist"])
+    return f"""SELECT {ecosystem} AS ecosystem, CASE WHEN p_partkey % 4 = 0 THEN 'lib' || {s('p_partkey % 7')} ELSE 'pkg' || {s('p_partkey % 30')} END AS name,
+  {s('p_size % 9')} || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || {s('p_partkey % 5')} END AS introduced,
+  CASE WHEN p_partkey % 7 <> 0 THEN {s('p_size % 9 + p_partkey % 4')} || '.' || {s('p_size % 11')} || '.0' END AS fixed,
+  CASE WHEN p_partkey % 5 = 0 THEN 'MAL-' ELSE 'GHSA-' END || {s('p_partkey')} AS id FROM part"""
+
+
 def url_intel_sql(d: Dialect) -> str:
     """``(url, vt, uh)``: JSON texts; every tenth URL has no report."""
     return f"""SELECT url, '{{"data": {{"id": "u-' || md5(url) || '-17", "attributes": {{"last_analysis_stats": {{"malicious": ' || {s('k % 7')} || '}}}}}}}}' AS vt,
