@@ -17,13 +17,18 @@ DEDUP = ACCEPTED + [
     f"""deduped AS MATERIALIZED (SELECT * FROM (SELECT *, {KEY} AS dedup_key, count(*) OVER (PARTITION BY repo, type, {KEY}) AS occurrence_count,
           row_number() OVER (PARTITION BY repo, type, {KEY} ORDER BY confidence DESC, file, stage, line_no, pos, rule_no, match_no, description) AS best
           FROM accepted) WHERE best = 1)"""]
+BY_MATCH = TRIAGED + ["kept AS MATERIALIZED (SELECT * FROM t1 WHERE confidence >= 0.7)"]
+DEDUP_BY_MATCH = BY_MATCH + [
+    """deduped AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY repo, type, match_content) AS occurrence_count,
+          row_number() OVER (PARTITION BY repo, type, match_content ORDER BY confidence DESC, file, stage, line_no, pos, rule_no, match_no, description) AS best
+          FROM kept) WHERE best = 1)"""]
 W_ = O.case_of("severity", K.SEVERITY_WEIGHT, 1)
-SCORES = DEDUP + [
-    f"""scores AS MATERIALIZED (SELECT r.repo, CAST(coalesce(s.risk_score, 0) AS INT) AS risk_score, coalesce(s.n, 0) AS finding_count
+SCORED = f"""scores AS MATERIALIZED (SELECT r.repo, CAST(coalesce(s.risk_score, 0) AS INT) AS risk_score, coalesce(s.n, 0) AS finding_count
           FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN (
             SELECT repo, count(*) AS n, least(floor(round(sum({W_} * confidence) / sum({W_}) * 100 + least(count(*) * 0.5, 15)
               + least(count(DISTINCT type) * 3, 15) + CASE WHEN count(*) FILTER (file_context = 'Production') / CAST(count(*) AS DOUBLE) > 0.5 THEN 10 ELSE 0 END, 9)), 100)
-              AS risk_score FROM deduped GROUP BY repo) s ON r.repo = s.repo)"""]
+              AS risk_score FROM deduped GROUP BY repo) s ON r.repo = s.repo)"""
+SCORES = DEDUP + [SCORED]
 IOCS = HITS + ["iocs AS MATERIALIZED (SELECT repo, match_content AS ioc, file AS source_file, stage FROM hits WHERE row_kind = 'ioc')"]
 
 
@@ -294,6 +299,10 @@ def build() -> dict[str, str]:
         "confident_findings": O.with_(HITS, f"SELECT {DETAIL} FROM hits WHERE row_kind = 'finding' AND hits.confidence >= CAST(0.8 AS DOUBLE)"),
         "dedup_findings": O.with_(DEDUP, "SELECT repo, type, dedup_key, file, description, round(confidence, 9) AS confidence, severity, occurrence_count FROM deduped"),
         "finding_locations": O.with_(ACCEPTED, f"SELECT repo, type, {KEY} AS dedup_key, file, count(*) AS hits FROM accepted GROUP BY ALL"),
+        "dedup_by_match": O.with_(DEDUP_BY_MATCH, """SELECT repo, type, sha256(match_content) AS match_hash, file, description, round(confidence, 9) AS confidence,
+            severity, occurrence_count FROM deduped"""),
+        "locations_by_match": O.with_(BY_MATCH, "SELECT repo, type, sha256(match_content) AS match_hash, file, count(*) AS hits FROM kept GROUP BY ALL"),
+        "risk_by_match": O.with_(DEDUP_BY_MATCH + [SCORED], "SELECT repo, risk_score, finding_count FROM scores"),
         "risk_score": O.with_(SCORES, "SELECT repo, risk_score, finding_count FROM scores"),
         "correlated_findings": correlate_sql(),
         "severity_type_counts": O.with_(ACCEPTED, """SELECT 'severity' AS kind, severity AS value, count(*) AS n FROM accepted GROUP BY ALL

@@ -214,6 +214,28 @@ def finding_locations(spark, sf):
     return dedup.finding_locations(accepted(spark, sf))
 
 
+def accepted_with_match(spark, sf) -> DataFrame:
+    return triage.accepted(triage.triage(detect.findings_of(scanned(spark, sf)), keep_match=True))
+
+
+@query
+def dedup_by_match(spark, sf):
+    """Findings that keep their matched text fold only where all of it is equal; the key is given as its hash."""
+    return dedup.deduplicate(accepted_with_match(spark, sf), by="match").select(
+        "repo", "type", F.sha2("dedup_key", 256).alias("match_hash"), "file", "description", r9("confidence"), "severity", "occurrence_count")
+
+
+@query
+def locations_by_match(spark, sf):
+    return dedup.finding_locations(accepted_with_match(spark, sf), by="match").select(
+        "repo", "type", F.sha2("dedup_key", 256).alias("match_hash"), "file", "hits")
+
+
+@query
+def risk_by_match(spark, sf):
+    return score.risk_scores(dedup.deduplicate(accepted_with_match(spark, sf), by="match"), files(spark, sf))
+
+
 @query
 def risk_score(spark, sf):
     return score.risk_scores(dedup.deduplicate(accepted(spark, sf)), files(spark, sf))
