@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintscan.functions.versions import version_key
 from glintscan.operators import lookup
+from glintscan.sources.staging import stage
 
 PACKAGE = ["ecosystem", "name"]
 LEVELS = 31
@@ -31,7 +32,8 @@ def _bound(ranges: DataFrame, column: str) -> tuple[Column, Column]:
 def stretches(versions: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Versions with their number ``nth`` in the package, and ranges as numbers ``lo`` up to, not including, ``hi``.
 
-    One window per package passes its distinct keys and bounds in order and counts the keys before each bound.
+    One window per package passes its distinct keys and bounds in order and counts the keys before each bound.  Keys and
+    bounds are needed several times and written once.
     """
     start, open_start = _bound(ranges, "introduced")
     fixed, no_fixed = _bound(ranges, "fixed")
@@ -39,7 +41,9 @@ def stretches(versions: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFr
     lo = F.when(open_start | (F.col("introduced") == "0"), "").otherwise(start)
     hi = F.when(~no_fixed, fixed).when(~no_last, F.concat(last, F.lit("~"))).otherwise("~")
     bounds = ranges.select(*PACKAGE, "id", lo.alias("lo"), hi.alias("hi")).where("lo IS NOT NULL AND hi IS NOT NULL AND lo < hi").distinct()
+    bounds = stage(bounds)
     keyed = versions.withColumn("key", version_key(F.col("ecosystem"), F.col("version"))).where("key IS NOT NULL")
+    keyed = stage(keyed)
     keys = keyed.select(*PACKAGE, "key").distinct().withColumn("is_key", F.lit(1))
     marks = bounds.select(*PACKAGE, F.explode(F.array("lo", "hi")).alias("key")).distinct().withColumn("is_key", F.lit(0))
     before = Window.partitionBy(*PACKAGE).orderBy("key", "is_key").rowsBetween(Window.unboundedPreceding, -1)
