@@ -5,11 +5,12 @@ hash of its shingles under each of ``COORDINATES`` hash functions; two texts sha
 similarity. Every tree starts at another token: texts that share it are a node. A node of at most ``SMALL`` texts is compared
 exhaustively, on tokens first and then, where these leave a chance, on the full sets. A larger node is branched by
 further tokens, which the node itself selects, and its children are treated alike. ``TREES`` independent trees find a link of
-similarity 0.75 in small nodes but for a chance of 0.25 ** 16.
+similarity 0.75 in small nodes but for a chance of 0.25 ** 16. Two texts that meet in small nodes of several trees are compared
+in the first of these only, so that their sets travel once.
 
 Only the components matter, so work stops where it cannot change them. First, three trees and, for large nodes, the links to a
 few texts of the node give most links, and the components of these become labels. From then on only texts of different
-labels are compared: a node of one label is done, and a node whose texts outside its commonest label are few is dealt out as
+labels are compared, in the other trees: a node of one label is done, and a node whose texts outside its commonest label are few is dealt out as
 those few beside parts of the rest. What is still large at the last level is compared part by part. So a node
 never comes to one task as a whole, nor does the comparison lose a link by a cap.
 """
@@ -39,19 +40,30 @@ CHANCE = 0.5
 MULTIPLIERS = np.random.default_rng(20_240_101).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = np.random.default_rng(7).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORDS_KEPT = 1_000_000
+SLICE = 4_000_000
+#: Columns of a member of a node: ``small_in`` has a bit for each tree in which its node is small, ``roots`` 16 bits of each root
+#: token, which make 32 with those of ``tokens``. Nodes of large nodes' members have no tree.
+MEMBER = ["node", "rep", "label", "tokens", "tree", "roots", "small_in"]
 
 
 def word_hashes(data: bytes, known: dict[bytes, int]) -> np.ndarray:
     """A 64-bit hash of every word of a lower-cased text; ``known`` remembers a bounded number of words."""
     import xxhash
 
-    words = data.split()
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([known[w] for w in words], np.uint64)
+    parts, start = [], 0
+    while start < len(data):  # slices that end at white space, so a huge text needs no huge list
+        end = start + SLICE
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        words = data[start:end].split()
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        parts.append(np.array([known[w] for w in words], np.uint64))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingles(text: str, known: dict[bytes, int]) -> np.ndarray:
@@ -144,8 +156,9 @@ def token_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), COORDINATES)
 
 
-def close_pairs(tokens: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different labels that share enough tokens, and how many they share."""
+def close_pairs(node: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different labels in a node that share enough tokens and meet here first, and how many tokens they share."""
+    tokens, labels = token_rows(node.column("tokens")), node.column("label").to_numpy()
     first, second, shared = [], [], []
     for i in range(len(tokens) - 1):
         equal = (tokens[i + 1:] == tokens[i]).sum(axis=1)
@@ -156,7 +169,15 @@ def close_pairs(tokens: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.
             shared.append(equal[near])
     if not first:
         return (np.zeros(0, int),) * 3
-    return np.concatenate(first), np.concatenate(second), np.concatenate(shared)
+    a, b, shared = np.concatenate(first), np.concatenate(second), np.concatenate(shared)
+    tree = node.column("tree")[0].as_py()
+    if tree is None:
+        return a, b, shared
+    roots = node.column("roots").flatten().to_numpy().reshape(-1, TREES)
+    together = (tokens[a, :TREES] == tokens[b, :TREES]) & (roots[a] == roots[b])
+    together &= (node.column("small_in").to_numpy()[a, None] >> np.arange(TREES) & 1) == 1
+    here = together.argmax(axis=1) == tree
+    return a[here], b[here], shared[here]
 
 
 def in_nodes(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -170,21 +191,21 @@ def in_nodes(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
 
 
 def promising(members: DataFrame) -> DataFrame:
-    """``node`` and ``rep`` of the members that share enough tokens with one of another label."""
+    """``node``, ``rep`` and ``tree`` of the members that share enough tokens with one of another label."""
     def work(node: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b, _ = close_pairs(token_rows(node.column("tokens")), node.column("label").to_numpy())
+        a, b, _ = close_pairs(node)
         if len(a):
             take = pa.array(np.unique(np.concatenate([a, b])))
-            yield pa.record_batch([node.column("node").take(take), node.column("rep").take(take)], ["node", "rep"])
+            yield pa.record_batch([node.column(c).take(take) for c in ("node", "rep", "tree")], ["node", "rep", "tree"])
 
-    return in_nodes(members.select("node", "rep", "label", "tokens"), work, "node long, rep long")
+    return in_nodes(members.select(*MEMBER), work, "node long, rep long, tree int")
 
 
 def linked(members: DataFrame) -> DataFrame:
     """Pairs of labels that links between their texts join, confirmed on the full sets: each label and the smallest one it reaches in a node."""
     def work(node: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         labels = node.column("label").to_numpy()
-        a, b, shared = close_pairs(token_rows(node.column("tokens")), labels)
+        a, b, shared = close_pairs(node)
         if not len(a):
             return
         sets = [np.frombuffer(s, "<u8") for s in node.column("shingles").to_pylist()]
@@ -204,7 +225,7 @@ def linked(members: DataFrame) -> DataFrame:
         if found:
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return in_nodes(members.select("node", "rep", "label", "tokens", "shingles"), work, "a long, b long")
+    return in_nodes(members.select(*MEMBER, "shingles"), work, "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -232,26 +253,36 @@ def link(docs: DataFrame, texts: DataFrame) -> DataFrame:
     roots = F.transform("roots", lambda t, i: F.struct(i.alias("tree"), F.xxhash64(i, t).alias("node")))
     grown = texts.select("rep", F.explode(roots).alias("r")).select("rep", "r.tree", "r.node")
     sizes = staged(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    active = staged(grown.join(sizes, "node").join(texts.select("rep", "tokens"), "rep"))
+    places = grown.join(sizes, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "n")).alias("places"))  # one a tree at most
+    bits = F.aggregate("places", F.lit(0), lambda bits, p: bits + F.when(p["n"] <= SMALL, F.call_function("shiftleft", F.lit(1), p["tree"])).otherwise(0))
+    short = F.transform("roots", lambda t: (F.pmod(F.shiftright(t, 20), F.lit(2**16)) - 2**15).cast("short"))
+    # tokens once a text; its nodes are rows only on the way to a shuffle
+    placed = staged(places.join(texts.select("rep", "tokens", short.alias("roots")), "rep").select("rep", "tokens", "roots", bits.alias("small_in"), "places"))
+    active = placed.select("rep", "tokens", "roots", "small_in", F.explode("places").alias("p")).select(
+        "p.node", "rep", "tokens", "p.tree", "roots", "small_in", "p.n")
     small = active.filter(F.col("n") <= SMALL).withColumn("label", F.col("rep"))
     near, pairs = staged(promising(small)), staged(near_centres(active.filter(F.col("n") > SMALL)))
+    early, late = near.filter(F.col("tree") < FIRST_TREES), near.filter(F.col("tree") >= FIRST_TREES)
 
     # First look: small nodes of three trees, and the centres of large nodes.
-    sets = sets_of(docs, texts, near.select("rep").unionByName(pairs.select("rep")).unionByName(pairs.select(F.col("centre").alias("rep"))))
-    first = small.filter(F.col("tree") < FIRST_TREES).join(near, ["node", "rep"], "left_semi").join(sets, "rep")
+    sets = sets_of(docs, texts, early.select("rep").unionByName(pairs.select("rep")).unionByName(pairs.select(F.col("centre").alias("rep"))))
+    first = small.filter(F.col("tree") < FIRST_TREES).join(early, ["node", "rep"], "left_semi").join(sets, "rep")
     labels = staged(components(linked(first).unionByName(star_links(pairs, sets))).select(F.col("v").alias("rep"), "component"))
     label = F.coalesce("component", "rep").alias("label")
     known = labels.select(F.col("rep").alias("a"), F.col("component").alias("b"))
 
-    # Second look: all small nodes and what becomes of the large ones, as far as labels differ.
-    members = near.join(labels, "rep", "left").select("node", "rep", label)
-    members = staged(members.join(staged(described(members)).select("node"), "node", "left_semi").join(texts.select("rep", "tokens"), "rep"))
+    # Second look: small nodes of the other trees and what becomes of the large ones, as far as labels differ.
+    members = late.join(labels, "rep", "left").select("node", "rep", "tree", label)
+    members = members.join(staged(described(members)).select("node"), "node", "left_semi")
+    members = staged(members.join(placed.drop("places"), "rep").select(*MEMBER))
     members = members.join(staged(promising(members)), ["node", "rep"], "left_semi")  # next to the labels, few are left
     dealt = branched(active.filter(F.col("n") > SMALL).select("node", "rep", "tokens").join(labels, "rep", "left").select("node", "rep", "tokens", label))
     if dealt is not None:
+        dealt = dealt.select("*", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("array<short>").alias("roots"), F.lit(0).alias("small_in"))
         far = staged(promising(dealt))
-        members = members.unionByName(dealt.join(far, ["node", "rep"], "left_semi").select(members.columns))
-        sets = sets.unionByName(sets_of(docs, texts, far.join(sets, "rep", "left_anti")))
+        members = members.select(*MEMBER).unionByName(dealt.join(far, ["node", "rep"], "left_semi").select(*MEMBER))
+    members = staged(members)
+    sets = sets.unionByName(sets_of(docs, texts, members.select("rep").join(sets, "rep", "left_anti")))
     return known.unionByName(staged(linked(members.join(sets, "rep"))))
 
 
@@ -338,7 +369,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` (a whole number) and ``text``; other columns are ignored. Documents are linked if their sets of
     shingles are at least 75 % alike; the component's id is the smallest ``doc_id`` reachable. A null text, or one
     without words, is linked with nothing. A row with a null id is linked with nothing, has the component null and
-    is kept. Rows that share an id count as one document with several texts. Equal rows get equal results.
+    is kept. A text of any length is taken whole, in slices. Rows that share an id count as one document with several texts. Equal rows get equal results.
     """
     rows = staged(sketch(docs))
     texts = staged(
