@@ -2,8 +2,8 @@
 
 Lines are compared after lower-casing, with digits as zeros and white space as single spaces, by a 64-bit hash. For each
 host and line, the distinct documents (``doc_id``) that hold it are counted, exact copies of a text too. Over the limit, the
-line is removed from every text but the first one (smallest ``doc_id``) and its exact copies, so a passage never disappears
-from a host altogether. Counting goes by (line, text) first, then by line, so no line is hot;
+line is removed from every text. With ``spare_first`` the first text (smallest ``doc_id``) and its exact copies keep it, so that
+a passage never disappears from a host altogether. Counting goes by (line, text) first, then by line, so no line is hot;
 the look-up of removed lines is a sort-merge join of two written tables, which Spark splits where a line is.
 """
 
@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged, text_hash
+from .common import staged
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
@@ -28,6 +28,12 @@ DIGITS = bytes.maketrans(b"123456789", b"000000000")
 SLICE = 4_000_000
 
 
+def text_key() -> Column:
+    """128 bits of host and text, each behind its length, which is -1 for null."""
+    part = lambda c: (F.coalesce(F.char_length(c), F.lit(-1)).cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return F.unhex(F.md5(F.concat_ws(":", *part("source"), *part("text"))))
+
+
 def normal_line(line: bytes) -> bytes:
     """A lower-cased line with zeros as digits and single spaces."""
     return b" ".join(line.translate(DIGITS).split())
@@ -91,14 +97,14 @@ def measure(docs: DataFrame) -> DataFrame:
                 ["doc_id", "source", "text_key", *NAMES, "lines"])
 
     kinds = docs.schema
-    rows = docs.select("doc_id", "source", text_hash("source", "text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = (f"doc_id {kinds['doc_id'].dataType.simpleString()}, source {kinds['source'].dataType.simpleString()}, text_key long, "
+    rows = docs.select("doc_id", "source", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = (f"doc_id {kinds['doc_id'].dataType.simpleString()}, source {kinds['source'].dataType.simpleString()}, text_key binary, "
               + ", ".join(f"{n} long" for n in NAMES) + ", lines array<struct<line: long, words: long>>")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     return rows.mapInArrow(run, schema).withColumn("base_failed", failed)
 
 
-def removed_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def removed_lines(measured: DataFrame, max_docs: int = MAX_DOCS, spare_first: bool = False) -> DataFrame:
     """``text_key``, ``removed`` (hashes of its lines that go) and ``removed_words``, for the texts that lose lines."""
     held = staged(
         measured.select("doc_id", "text_key", "source", F.explode("lines").alias("l"))
@@ -106,15 +112,15 @@ def removed_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
         .agg(F.max("l.line").alias("line"), F.max("l.words").alias("words"))  # rows of one id and text are one document
         .groupBy("line_key", "text_key")
         .agg(F.min("doc_id").alias("doc_id"), F.max("line").alias("line"), F.max("words").alias("words"), F.count(F.lit(1)).alias("docs")))
+    first = F.min(F.struct("doc_id", "text_key"))["text_key"] if spare_first else F.lit(None).cast("binary")
     common = staged(
-        held.groupBy("line_key").agg(F.sum("docs").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-        .filter(F.col("docs") > max_docs).select("line_key", F.col("first.text_key").alias("first_key")))
+        held.groupBy("line_key").agg(F.sum("docs").alias("docs"), first.alias("first_key")).filter(F.col("docs") > max_docs).select("line_key", "first_key"))
     return (
-        held.join(common, "line_key").filter(F.col("text_key") != F.col("first_key")).groupBy("text_key")
+        held.join(common, "line_key").filter(~F.col("text_key").eqNullSafe(F.col("first_key"))).groupBy("text_key")
         .agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words")))  # lines of one text
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, spare_first: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_key``, the counts, ``base_failed``, ``removed``, ``removed_words``, ``kept``.
 
     ``docs`` has ``doc_id``, ``source`` (the host) and ``text``; other columns are ignored. A null text counts as empty, a
@@ -122,7 +128,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
     if it fails the base rules or keeps less than ``min_left`` of its words. Equal rows get equal verdicts.
     """
     measured = staged(measure(docs))
-    removed = staged(removed_lines(measured, max_docs))
+    removed = staged(removed_lines(measured, max_docs, spare_first))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return (
         measured.drop("lines").join(removed, "text_key", "left")
@@ -131,12 +137,11 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
         .select("doc_id", "text_key", *NAMES, "base_failed", "removed", "removed_words", "kept"))
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, spare_first: bool = False) -> DataFrame:
     """The documents that ``judge`` keeps, all columns, without the lines that go; ``n_chars``, if there, follows."""
-    verdicts = judge(docs, max_docs, min_left).filter("kept").groupBy("text_key").agg(F.first("removed").alias("removed"))
+    verdicts = judge(docs, max_docs, min_left, spare_first).filter("kept").groupBy("text_key").agg(F.first("removed").alias("removed"))
     verdicts = staged(verdicts.withColumnRenamed("text_key", "verdict_key").withColumnRenamed("removed", "verdict_removed"))
-    key = F.xxhash64(docs["source"], docs["text"])
-    joined = docs.join(verdicts, key == verdicts["verdict_key"]).select(*[docs[c] for c in docs.columns], "verdict_removed")
+    joined = docs.join(verdicts, text_key() == verdicts["verdict_key"]).select(*[docs[c] for c in docs.columns], verdicts["verdict_removed"])
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

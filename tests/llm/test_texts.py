@@ -70,7 +70,7 @@ def facts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def plain_judge(rows, max_docs, min_left):
+def plain_judge(rows, max_docs, min_left, spare):
     def norm(line):
         return " ".join(re.sub("[1-9]", "0", line.lower()).split())
 
@@ -86,14 +86,15 @@ def plain_judge(rows, max_docs, min_left):
         gone = 0
         for line in (t or "").split("\n"):
             h = holders.get((s, norm(line)), {})
-            if norm(line) and len(h) > max_docs and min(h, key=lambda x: (h[x] is not None, h[x])) != t:
+            if norm(line) and len(h) > max_docs and not (spare and min(h, key=lambda x: (h[x] is not None, h[x])) == t):
                 gone += len(line.split())
         failed = n < 50 or 100 * rest[3] > 50 * n
         out.append((i, n, *rest, failed, gone, not failed and n - gone >= min_left * n))
     return sorted(out, key=str)
 
 
-def test_quality(table):
+@pytest.mark.parametrize("spare", [False, True])
+def test_quality(table, spare):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
     common = " ".join(word() for _ in range(60))
@@ -103,11 +104,11 @@ def test_quality(table):
         rows.append((i, rng.choice(["h", "h", None]), rng.choice([common.upper() + "  ", common, ""]) + "\n" + own + "\nPage %d" % i))
     rows += [(100, "h", None), (101, "h", ""), (102, "h", "a b c " * 40), (None, "h", common + "\nx"), (103, "h", rows[0][2]), (103, "h", rows[0][2]), (104, "h", "é%| #" * 30)]
     df = table(rows, DOCS)
-    got = line_frequency.judge(df, max_docs=5)
+    got = line_frequency.judge(df, max_docs=5, spare_first=spare)
     mine = sorted([(r.doc_id, *(r[n] for n in line_frequency.NAMES), r.base_failed, r.removed_words, r.kept) for r in got.collect()], key=str)
-    assert mine == plain_judge(rows, 5, line_frequency.MIN_LEFT)
+    assert mine == plain_judge(rows, 5, line_frequency.MIN_LEFT, spare)
     assert sum(not r[-1] and not r[-3] for r in mine) > 3
-    cleaned = line_frequency.clean(df, max_docs=5)
+    cleaned = line_frequency.clean(df, max_docs=5, spare_first=spare)
     assert cleaned.columns == df.columns and sorted(r.doc_id for r in cleaned.collect() if r.doc_id is not None) == sorted(r[0] for r in mine if r[-1] and r[0] is not None)
     shorter = {r.doc_id: r.text for r in cleaned.collect()}
     assert all(len(shorter[r[0]].split()) == r[1] - r[-2] for r in mine if r[-1] and r[0] is not None)
@@ -121,8 +122,9 @@ def test_exact_copies_count_as_documents(table):
     rows = [(1, "h", own() + "\n" + line)] + [(10 + i, "h", copied + "\n" + line) for i in range(5)]  # six documents, two texts
     rows += [(30, "h", own() + "\nListed often")] * 9 + [(40, "h", own() + "\nListed often")]  # two documents in ten rows
     rows += [(50 + i, "g", copied + "\n" + line) for i in range(5)]  # five documents of another host
-    got = {r.doc_id: r.removed_words for r in line_frequency.judge(table(rows, DOCS), max_docs=5).collect()}
-    assert got == {r[0]: 7 if 10 <= r[0] < 15 else 0 for r in rows}
+    for spare in (False, True):
+        got = {r.doc_id: r.removed_words for r in line_frequency.judge(table(rows, DOCS), max_docs=5, spare_first=spare).collect()}
+        assert got == {r[0]: 7 if 10 <= r[0] < 15 or (r[0] == 1 and not spare) else 0 for r in rows}
 
 
 def test_facts_of_long_texts():
