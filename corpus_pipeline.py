@@ -16,8 +16,11 @@ from glintscan.llm.common import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents of a source share go, and so do documents that fail the rules or lose most of their words."""
-    return line_frequency.clean(docs)
+    """Lines that many documents of a source share go, and so do documents that fail the rules or lose most of their words.
+
+    One text keeps each line, so that a clean text with many copies is left for the next stage, which keeps one of them.
+    """
+    return line_frequency.clean(docs, spare_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
