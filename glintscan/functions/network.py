@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from glintscan import catalogue as K
+from glintscan.functions.punycode import decoded_host
 from glintscan.sqltext import ends_with_any
 
 
@@ -66,9 +67,9 @@ def is_public_ipv4(v: Column) -> Column:
 
 
 def is_public_host(host: Column, address: Column) -> Column:
-    """Can the host be an indicator: well-known hosts and local addresses cannot."""
+    """Can the host be an indicator: well-known hosts, local addresses and names with a malformed ``xn--`` label cannot."""
     quiet = host.isin(K.QUIET_HOSTS) | ends_with_any(host, K.QUIET_SUFFIXES)
-    return F.when(host == "", False).when(
+    return F.when((host == "") | (host.isNotNull() & decoded_host(host).isNull()), False).when(
         is_numeric_host(host), F.coalesce(is_public_ipv4(address), F.lit(False))
     ).otherwise(~quiet)
 
