@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -196,6 +196,11 @@ def with_spans(scanned: DataFrame, limits: dict[str, int]) -> DataFrame:
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
+def of_kind(kind: int) -> Callable[[Column], Column]:
+    """Whether a span is of a kind; of one argument, for Spark gives a second one the span's place."""
+    return lambda s: s["kind"] == kind
+
+
 def shown(spans: str) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
