@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glintscan import catalogue as K
+from glintscan.sources.staging import stage
 from glintscan.sqltext import literal_table
 
 
@@ -19,9 +20,10 @@ def vulnerable_dependencies(dependencies: DataFrame, advisories: DataFrame) -> D
 
     Distinct packages are looked up once; a dependency without a version meets
     every advisory of its package.  Spark splits popular packages when the
-    result goes back to the rows that use them.
+    result goes back to the rows that use them.  The dependencies are needed
+    three times and written once, so manifests are parsed once.
     """
-    deps = with_ecosystem(dependencies).select("repo", "manifest", "ecosystem", "name", "version").distinct()
+    deps = stage(with_ecosystem(dependencies).select("repo", "manifest", "ecosystem", "name", "version").distinct())
     wanted = deps.select("ecosystem", "name", "version").distinct()
     malicious = F.startswith("id", F.lit("MAL-"))
     # equal versions meet by key, so a package never pairs all its versions with all its advisories

@@ -146,8 +146,12 @@ def marked_lines(rows: DataFrame) -> DataFrame:
 
 
 def manifest_rows(files: DataFrame) -> DataFrame:
-    """``(repo, path, manifest, kind, name, version)``; kind is ``package`` or ``script``."""
-    manifests = manifest_files(files)
+    """``(repo, path, manifest, kind, name, version)``; kind is ``package`` or ``script``.
+
+    Files are dealt out by name before they are parsed: a small file of a packed table holds a great many manifests, and
+    the windows by file need the same layout.
+    """
+    manifests = manifest_files(files).repartition("repo", "path", "manifest")
     is_json = F.col("manifest").isin(JSON_FORMATS)
     parsed = manifests.select("repo", "path", "manifest", "content", F.when(is_json, F.try_parse_json("content")).alias("doc"))
     rows = parsed.select("repo", "path", "manifest", F.inline(

@@ -19,14 +19,24 @@ from glintscan.operators import lookup
 from glintscan.sources.staging import stage
 
 PACKAGE = ["ecosystem", "name"]
+BOUNDS = ["introduced", "fixed", "last_affected"]
 LEVELS = 31
 
 
+def version_keys(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(ecosystem, text, key)`` of every version and bound that is one; each distinct text is parsed once, wherever it stands."""
+    texts = versions.select("ecosystem", F.col("version").alias("text")).unionByName(
+        ranges.select("ecosystem", F.explode(F.array(*[c for c in BOUNDS if c in ranges.columns])).alias("text")))
+    # written before the filter, which Spark would otherwise push, and the parsing with it, below distinct()
+    parsed = stage(texts.where("text IS NOT NULL").distinct().withColumn("key", version_key(F.col("ecosystem"), F.col("text"))))
+    return parsed.where("key IS NOT NULL")
+
+
 def _bound(ranges: DataFrame, column: str) -> tuple[Column, Column]:
     """The key of a bound, and whether it is absent."""
     if column not in ranges.columns:
         return F.lit(None).cast("string"), F.lit(True)
-    return version_key(F.col("ecosystem"), F.col(column)), F.col(column).isNull()
+    return F.col(f"{column}_key"), F.col(column).isNull()
 
 
 def stretches(versions: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +45,10 @@ def stretches(versions: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFr
     One window per package passes its distinct keys and bounds in order and counts the keys before each bound.  Keys and
     bounds are needed several times and written once.
     """
+    parsed = version_keys(versions, ranges)
+    for c in BOUNDS:
+        if c in ranges.columns:
+            ranges = ranges.join(parsed.select("ecosystem", F.col("text").alias(c), F.col("key").alias(f"{c}_key")), ["ecosystem", c], "left")
     start, open_start = _bound(ranges, "introduced")
     fixed, no_fixed = _bound(ranges, "fixed")
     last, no_last = _bound(ranges, "last_affected")
@@ -42,8 +56,7 @@ def stretches(versions: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFr
     hi = F.when(~no_fixed, fixed).when(~no_last, F.concat(last, F.lit("~"))).otherwise("~")
     bounds = ranges.select(*PACKAGE, "id", lo.alias("lo"), hi.alias("hi")).where("lo IS NOT NULL AND hi IS NOT NULL AND lo < hi").distinct()
     bounds = stage(bounds)
-    keyed = versions.withColumn("key", version_key(F.col("ecosystem"), F.col("version"))).where("key IS NOT NULL")
-    keyed = stage(keyed)
+    keyed = stage(versions.join(parsed.withColumnRenamed("text", "version"), ["ecosystem", "version"]))
     keys = keyed.select(*PACKAGE, "key").distinct().withColumn("is_key", F.lit(1))
     marks = bounds.select(*PACKAGE, F.explode(F.array("lo", "hi")).alias("key")).distinct().withColumn("is_key", F.lit(0))
     before = Window.partitionBy(*PACKAGE).orderBy("key", "is_key").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,10 +97,11 @@ def range_findings(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings as of ``lookup.vulnerable_dependencies``, one per dependency and kind.
 
     The hit versions become the version list of their advisory and go the way of listed versions; a dependency without a version
-    meets every advisory of its package there.
+    meets every advisory of its package there.  Dependencies and hits are needed several times and written once.
     """
+    dependencies = stage(dependencies)
     deps = lookup.with_ecosystem(dependencies)
     hit = affected(deps.where("version <> ''"), ranges)
     named = ranges.select(*PACKAGE, F.lit(None).cast("string").alias("version"), "id").distinct()
     listed = hit.unionByName(named).groupBy(*PACKAGE, "id").agg(F.collect_list("version").alias("versions"))
-    return lookup.vulnerable_dependencies(dependencies, listed)
+    return lookup.vulnerable_dependencies(dependencies, stage(listed))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintscan.functions.versions import version_key
-from glintscan.operators import ranges as R
+from glintscan.operators import lookup, ranges as R
 
 # Versions in the order of their ecosystem; those in one group are equal.
 ORDERS = {
@@ -75,3 +75,22 @@ def test_findings_of_ranges(spark):
     assert R.range_findings(deps, empty).count() == 0 and R.range_findings(deps.where("false"), ranges).count() == 0
     plan = R.affected(deps.selectExpr("'PyPI' AS ecosystem", "name", "version"), ranges)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dependencies_are_made_once(spark):
+    """Whatever the manifests cost to parse, they cost it once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("r", "requirements.txt", f"p{i % 3}", f"1.{i}") for i in range(20)] + [("r", "requirements.txt", "p0", "")]
+    schema = "repo string, manifest string, name string, version string"
+    deps = lambda: spark.createDataFrame(rows, schema).mapInArrow(passed, schema)
+    ranges = spark.createDataFrame([("PyPI", "p0", "1.0", "1.9", "GHSA-1"), ("PyPI", "p1", None, None, "MAL-2")],
+                                   "ecosystem string, name string, introduced string, fixed string, id string")
+    assert R.range_findings(deps(), ranges).count() == 2 and made.value == len(rows)
+    listed = ranges.selectExpr("ecosystem", "name", "array('1.0', '1.3') AS versions", "id")
+    assert lookup.vulnerable_dependencies(deps(), listed).count() == 1 and made.value == 2 * len(rows)
