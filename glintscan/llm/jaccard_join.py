@@ -9,8 +9,8 @@ A document is its set of word 4-grams, a link a pair with at least 85 % in commo
   equal in one part; a part is some five elements, so texts that merely share a passage do not meet. Equal *empty* parts say nothing,
   so there are ``spare`` more parts than that, and only a set with more empty parts than ``spare`` uses its empty ones.
 * **Bitmaps.** Every set has a bitmap of parities. Counting the bits in which two bitmaps differ bounds the overlap from above:
-  ``(a + b - bits) / 2``. In a tile, sets are compared by at most ``FEW_BITS``; a pair that is left, once by a bitmap as long as its sets; only
-  pairs whose bound still reaches the threshold go on to the intersection of the sorted arrays. Tiles with the same members are one.
+  ``(a + b - bits) / 2``. In a tile, sets are compared by a shorter one, long enough to tell unlike sets apart at any size; a pair that is left, once
+  by a bitmap as long as its sets; only pairs whose bound still reaches the threshold go on to the intersection of the sorted arrays. Tiles with the same members are one.
 * **Labels.** Components are all that matters, so first each member of a tile is tried against the tile's smallest id, then against the one
   whose bitmap is closest; what these link gets one label. Last, all pairs of different labels in a tile are compared, large tiles in blocks
   of a fixed size, so a group of copies is one label by then, and no tile comes to one task as a whole.
@@ -37,9 +37,12 @@ PERCENT = 85
 #: Upper border of a band over its lower one.
 RATIO = Fraction(3, 2)
 LARGEST_SET = 2**31
-#: Most members of a block, and most bits of a bitmap in a tile.
+#: Most members of a block; bits of a bitmap in a tile: so many or, where that is more, three for each element in which sets of a link can
+#: differ (sets that differ in all of them fill half of the bits, beyond what a link may), up to a bound.
 BLOCK = 700
 FEW_BITS = 1024
+FEW_PER_DIFFERENCE = 3
+MOST_BITS = 2**17
 
 
 class Band(NamedTuple):
@@ -49,6 +52,7 @@ class Band(NamedTuple):
     parts: int
     spare: int
     bits: int
+    few: int
 
 
 def tail(mean: float, most: int) -> float:
@@ -68,7 +72,8 @@ def bands(percent: int) -> list[Band]:
             chance = lambda z: tail((differ + 1 + z) * math.exp(-low / (differ + 1 + z)), z)
             spare = next((z for z in range(13) if chance(z) < 1e-7), min(range(5), key=chance))
         bits = 64 * math.ceil(2 * high / 64)
-        out.append(Band(low, high, guests, differ + 1 + spare, spare, bits))
+        few = min(bits, MOST_BITS, max(FEW_BITS, 64 * math.ceil(FEW_PER_DIFFERENCE * differ / 64)))
+        out.append(Band(low, high, guests, differ + 1 + spare, spare, bits, few))
         low = high + 1
     return out
 
@@ -102,7 +107,7 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
         own = int(np.searchsorted(lows, n, "right")) - 1
         first = int(np.searchsorted(lows, -(-n * percent // 100), "right")) - 1
         return [
-            {"band": b, "bits": bitmap(values, table[b].bits).tobytes(), "few": bitmap(values, min(FEW_BITS, table[b].bits)).tobytes(), "tiles": part_hashes(values, table[b].parts, table[b].spare, b)}
+            {"band": b, "bits": bitmap(values, table[b].bits).tobytes(), "few": bitmap(values, table[b].few).tobytes(), "tiles": part_hashes(values, table[b].parts, table[b].spare, b)}
             for b in range(first, own + 1) if b == own or n <= table[b].guests]
 
     kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary()), ("few", pa.binary()), ("tiles", pa.list_(pa.int64()))]))

@@ -139,3 +139,14 @@ def test_bounds():
             assert large <= table[number].guests
             shared = [set(jj.part_hashes(x, table[number].parts, table[number].spare, number).tolist()) for x in (a, b)]
             assert shared[0] & shared[1]
+
+
+@pytest.mark.parametrize("size", [3000, 9000])
+def test_large_unlike_sets_of_a_tile_are_no_candidates(spark, size):
+    """However large the sets are, the bitmaps in a tile tell unlike ones apart, and leave like ones."""
+    rng = random.Random(size)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(size)) for _ in range(4)]
+    rows = list(enumerate([*texts, texts[0] + " more"]))
+    placed = jj.sketch(spark.createDataFrame(rows, DOCS), jj.WIDTH, jj.PERCENT).selectExpr("doc_id AS doc", "doc_id AS label", "n_shingles AS n", "inline(places)")
+    met = jj.candidates(placed.selectExpr("1L AS unit", "*"), jj.PERCENT, closest=False)
+    assert {(r.a, r.b) for r in met.collect()} == {(0, 4)}
