@@ -45,12 +45,20 @@ def pack(values: np.ndarray) -> np.ndarray:
             widest = np.maximum(widest[:-1], bits[count - 1:])
         if count in COUNTS:
             selector[widest[:n] <= 60 // count] = COUNTS.index(count)
-    after = (np.arange(n) + np.maximum(np.array(COUNTS)[selector], 1)).tolist()
-    first, i = [], 0
+    # where the next word starts, for every place; the places themselves are found 16 words at a time
+    after = np.append(np.minimum(np.arange(n) + np.maximum(np.array(COUNTS)[selector], 1), n), n)
+    far = after
+    for _ in range(4):
+        far = far[far]
+    jump, starts, i = far.tolist(), [], 0
     while i < n:
-        first.append(i)
-        i = after[i]
-    first = np.array(first)
+        starts.append(i)
+        i = jump[i]
+    steps = [np.array(starts)]
+    for _ in range(15):
+        steps.append(after[steps[-1]])
+    first = np.stack(steps, axis=1).ravel()
+    first = first[first < n]
     chosen = selector[first]
     place = np.cumsum(1 + (chosen == 0)) - 1 - (chosen == 0)
     words = np.zeros(place[-1] + 1 + (chosen[-1] == 0), np.uint64)
