@@ -27,8 +27,12 @@ from .token_counts import unit_memory
 #: How many values each selector packs.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK = 65_536
+#: Documents that are encoded at a time, many, as most of their words are equal.
+GROUP = 1_000
 MAGIC = int.from_bytes(b"S8B-IDS1", "little")
 TRAILER = "S8BBLOCK"
+#: The bits of small values.
+BITS = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -37,14 +41,20 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right").astype(np.uint8)
+    if values.max() < len(BITS):
+        bits = BITS[values]
+    else:
+        bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right").astype(np.uint8)
     selector = np.zeros(n, np.uint8)
     widest = bits = np.concatenate([bits, np.zeros(COUNTS[1], np.uint8)])
     for count in range(1, COUNTS[1] + 1):  # the largest count that fits is set last
         if count > 1:
             widest = np.maximum(widest[:-1], bits[count - 1:])
         if count in COUNTS:
-            selector[widest[:n] <= 60 // count] = COUNTS.index(count)
+            fits = widest[:n] <= 60 // count
+            if not fits.any():  # nor does any larger one
+                break
+            selector[fits] = COUNTS.index(count)
     # where the next word starts, for every place; the places themselves are found 16 words at a time
     after = np.append(np.minimum(np.arange(n) + np.maximum(np.array(COUNTS)[selector], 1), n), n)
     far = after
@@ -133,8 +143,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, block: i
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
-            for low in range(0, len(texts), 256):
-                for key, ids in zip(keys[low:low + 256], memory.texts(texts[low:low + 256]), strict=True):
+            for low in range(0, len(texts), GROUP):
+                for key, ids in zip(keys[low:low + GROUP], memory.texts(texts[low:low + GROUP]), strict=True):
                     ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
                     while len(ids):
                         part = ids[:block - held]

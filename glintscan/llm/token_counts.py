@@ -13,6 +13,8 @@ it), the document goes to another round with chunks and overlaps four times as l
 from __future__ import annotations
 
 import os
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import staged
-from .units import WHITE_CHARACTERS, UnitMemory, kept_in_worker, packed
+from .units import WHITE, WHITE_CHARACTERS, UnitMemory, kept_in_worker, packed, portions
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -39,25 +41,32 @@ def tokenizer(path: str):
 
 #: Characters of units that are encoded as one text.
 JOINED = 4_000
+#: A unit that a line feed before it leaves as it is: the pattern ends a run of white space before its last space.
+PLAIN = re.compile(f" [^{WHITE}]+")
 
 
 def encode_units(tok, units: list[str]) -> list[bytes]:
     """The ids of every unit.
 
-    Units that start with white space and end with another character are encoded many at a time, one after the other:
-    each starts at a boundary of the joined text, so its ids are those between its own characters.
+    Plain units are encoded many at a time with a line feed between them, which is a match of its own there and no part of
+    any of them, so its id tells where each ends. Others that start with white space and end with another character are
+    encoded one after the other: each starts at a boundary of the joined text, so its ids are those between its own
+    characters.
     """
-    apart, joined, size, parts = [], [], 0, []
-    for u in units:
-        if u[0] not in WHITE_CHARACTERS or u[-1] in WHITE_CHARACTERS:
-            apart.append(u)
-        else:
-            if size > JOINED or not parts:
-                parts.append(joined := [])
-                size = 0
-            joined.append(u)
-            size += len(u)
-    found = dict(zip(apart, (packed(e.ids) for e in tok.encode_batch_fast(apart, add_special_tokens=False)), strict=True))
+    mark = tok.encode("\n", add_special_tokens=False).ids
+    plain = list(filter(PLAIN.fullmatch, units)) if len(mark) == 1 else []
+    parts, found = list(portions(plain, JOINED)), {}
+    for part, enc in zip(parts, tok.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+        ids = np.array(enc.ids, "<u4")
+        cuts = (4 * np.flatnonzero(ids == mark[0])).tolist()
+        ids = ids.tobytes()
+        found.update(zip(part, [ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)], strict=True)], strict=True))
+    apart, joined = [], []
+    for u in units if len(found) < len(units) else []:
+        if u not in found:
+            (apart if u[0] not in WHITE_CHARACTERS or u[-1] in WHITE_CHARACTERS else joined).append(u)
+    found.update(zip(apart, (packed(e.ids) for e in tok.encode_batch_fast(apart, add_special_tokens=False)), strict=True))
+    parts = list(portions(joined, JOINED))
     for part, enc in zip(parts, tok.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
         starts = np.fromiter((a for a, _ in enc.offsets), np.int64)
         ids = np.array(enc.ids, "<u4").tobytes()
@@ -70,7 +79,8 @@ def unit_memory(path: str) -> UnitMemory:
     """Ids of texts by the tokenizer of a JSON file; a worker keeps it from task to task."""
     def make() -> UnitMemory:
         tok = tokenizer(path)
-        return UnitMemory(lambda units: encode_units(tok, units))
+        special = "".join(t.content for t in tok.get_added_tokens_decoder().values())
+        return UnitMemory(lambda units: encode_units(tok, units), "".join(c for c in string.punctuation if c not in special))
 
     return kept_in_worker(("tokenizer", path), make)
 
