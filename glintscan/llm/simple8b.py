@@ -28,7 +28,7 @@ from .token_counts import unit_memory
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK = 65_536
 #: Documents that are encoded at a time, many, as most of their words are equal.
-GROUP = 1_000
+GROUP = 600
 MAGIC = int.from_bytes(b"S8B-IDS1", "little")
 TRAILER = "S8BBLOCK"
 #: The bits of small values.
@@ -42,7 +42,7 @@ def pack(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     if values.max() < len(BITS):
-        bits = BITS[values]
+        bits = BITS[values.astype(np.intp)]
     else:
         bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right").astype(np.uint8)
     selector = np.zeros(n, np.uint8)
@@ -60,10 +60,10 @@ def pack(values: np.ndarray) -> np.ndarray:
     far = after
     for _ in range(4):
         far = far[far]
-    jump, starts, i = far.tolist(), [], 0
+    starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = jump[i]
+        i = far.item(i)
     steps = [np.array(starts)]
     for _ in range(15):
         steps.append(after[steps[-1]])
@@ -78,9 +78,9 @@ def pack(values: np.ndarray) -> np.ndarray:
         if s == 0:
             words[place[rows] + 1] = values[first[rows]]
             continue
-        word = np.full(rows.sum(), s << 60, np.uint64)
+        word, at = np.full(rows.sum(), s << 60, np.uint64), first[rows]
         for k in range(COUNTS[s]):
-            word |= padded[first[rows] + k] << np.uint64(k * (60 // COUNTS[s]))
+            word |= padded[at + k] << np.uint64(k * (60 // COUNTS[s]))
         words[place[rows]] = word
     return words
 
@@ -141,10 +141,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, block: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, before, table, waiting, held = unit_memory(path), 0, [], [], 0
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for low in range(0, len(texts), GROUP):
-                for key, ids in zip(keys[low:low + GROUP], memory.texts(texts[low:low + GROUP]), strict=True):
+            for low in range(0, batch.num_rows, GROUP):
+                group = batch.slice(low, GROUP)
+                for key, ids in zip(group.column("doc_id").to_pylist(), memory.texts(group.column("text").to_pylist()), strict=True):
                     ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
                     while len(ids):
                         part = ids[:block - held]

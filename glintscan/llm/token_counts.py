@@ -46,7 +46,7 @@ PLAIN = re.compile(f" [^{WHITE}]+")
 
 
 def encode_units(tok, units: list[str]) -> list[bytes]:
-    """The ids of every unit.
+    """The ids of every unit; an empty one has none.
 
     Plain units are encoded many at a time with a line feed between them, which is a match of its own there and no part of
     any of them, so its id tells where each ends. Others that start with white space and end with another character are
@@ -64,7 +64,7 @@ def encode_units(tok, units: list[str]) -> list[bytes]:
     apart, joined = [], []
     for u in units if len(found) < len(units) else []:
         if u not in found:
-            (apart if u[0] not in WHITE_CHARACTERS or u[-1] in WHITE_CHARACTERS else joined).append(u)
+            (apart if u[:1] not in WHITE_CHARACTERS or u[-1] in WHITE_CHARACTERS else joined).append(u)
     found.update(zip(apart, (packed(e.ids) for e in tok.encode_batch_fast(apart, add_special_tokens=False)), strict=True))
     parts = list(portions(joined, JOINED))
     for part, enc in zip(parts, tok.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):

@@ -65,7 +65,7 @@ class UnitMemory:
     in pieces of about ``chars`` characters, cut at unit boundaries, so a huge text needs little more than its ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], tails: str = string.punctuation, limit: int = 800_000, chars: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], tails: str = string.punctuation, limit: int = 1_200_000, chars: int = 2_000_000):
         self.encode, self.tails, self.limit, self.chars, self.known, self.old = encode, tails, limit, chars, {}, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -91,19 +91,26 @@ class UnitMemory:
         known, old = self.known, self.old
         found = list(map(known.get, units))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        heads = []
+        whole, places, heads, tails = [], [], [], []
         for k in missing:
             unit = units[k]
             head = unit.rstrip(self.tails)
-            heads.append(head if head[-1:] in ENDS else unit)
-        tails = [units[k][len(head):] for k, head in zip(missing, heads, strict=True)]
-        parts = [p for p in dict.fromkeys(itertools.chain(heads, tails)) if p not in known]
-        known.update({p: old[p] for p in parts if p in old})
-        fresh = [p for p in parts if p and p not in old]
+            if head != unit and head[-1:] in ENDS:
+                places.append(k)
+                heads.append(head)
+                tails.append(unit[len(head):])
+            else:
+                whole.append(k)
+        parts = dict.fromkeys(units[k] for k in whole)
+        parts.update(dict.fromkeys(p for p in itertools.chain(heads, dict.fromkeys(tails)) if p not in known))
+        fresh = [p for p in parts if p not in old] if old else list(parts)
+        if len(fresh) < len(parts):
+            known.update({p: old[p] for p in parts if p in old})
         known.update(zip(fresh, self.encode(fresh), strict=True))
-        known[""] = b""
-        for k, head, tail in zip(missing, heads, tails, strict=True):
-            found[k] = known[head] + known[tail] if tail else known[head]
+        for k in whole:
+            found[k] = known[units[k]]
+        for k, head, tail in zip(places, heads, tails, strict=True):
+            found[k] = known[head] + known[tail]
         for p in fresh:
             if len(p) > LONG_UNIT:
                 del known[p]

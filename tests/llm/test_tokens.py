@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from glintscan.llm import byte_bpe, simple8b, token_counts
 from glintscan.llm.queries import JSON, PATTERN, RANKS
-from glintscan.llm.units import UNIT, WHITE_CHARACTERS, pieces
+from glintscan.llm.units import UNIT, WHITE_CHARACTERS, UnitMemory, pieces, units_of
 
 SCHEMA = "doc_id long, text string"
 LONG = "abc  def\n" * 900 + "x" * 9_000 + " tail <|endoftext|> more  " * 300 + "\n" * 4_000 + "é" * 2_000 + "1234" * 800
@@ -52,6 +52,26 @@ def test_pieces_keep_the_text(text, chars):
     assert "".join(pieces(text, chars)) == text
 
 
+def test_words_need_the_tokenizer_once():
+    asked = []
+    memory = UnitMemory(lambda units: asked.extend(units) or [u.encode("utf-32-le") for u in units], limit=40)
+    texts = ["a word, word. (word) word!\nword", "", " word, ", *(f" word x{k}, x{k}\t{'y' * 70}{k}." for k in range(60))]
+    for _ in range(3):
+        for text in texts:
+            assert memory.texts([text, text]) == [text.encode("utf-32-le")] * 2
+    assert asked.count(" word") == asked.count(",") == 1  # met all the time, so never forgotten, with punctuation or without
+    assert len(memory.known) <= 40 and len(memory.old) <= 40
+
+
+@given(st.text(alphabet=st.sampled_from("ab  \n\t\0.,'<|>é1…１"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_units_of_any_text(library, text):
+    memory = token_counts.unit_memory(JSON)
+    for t in (text, text + "<|endoftext|>, a.", " a, " + text):
+        assert "".join(units_of([t, "b"])[0].as_py()) == t
+        assert np.frombuffer(memory.texts([t])[0], "<u4").tolist() == ids_of(library, t)
+
+
 @pytest.mark.parametrize("chunk, overlap", [(256, 64), (1_024, 128), (16_384, 512)])
 def test_counts(table, library, chunk, overlap):
     got = sorted(map(tuple, token_counts.count_tokens(table(ROWS, SCHEMA), JSON, chunk, overlap).collect()), key=str)
