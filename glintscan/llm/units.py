@@ -65,7 +65,7 @@ class UnitMemory:
     in pieces of about ``chars`` characters, cut at unit boundaries, so a huge text needs little more than its ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], tails: str = string.punctuation, limit: int = 1_200_000, chars: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], tails: str = string.punctuation, limit: int = 900_000, chars: int = 2_000_000):
         self.encode, self.tails, self.limit, self.chars, self.known, self.old = encode, tails, limit, chars, {}, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
