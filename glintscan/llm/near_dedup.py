@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
@@ -39,52 +40,103 @@ LEVELS = 5
 CHANCE = 0.5
 MULTIPLIERS = np.random.default_rng(20_240_101).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = np.random.default_rng(7).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WORDS_KEPT = 1_000_000
 SLICE = 4_000_000
+#: Values that are multiplied at a time: with all multipliers they fit a core's cache.
+BLOCK = 512
+#: Members up to which the pairs of a node are listed with those of other nodes, and pairs compared at a time.
+FEW = 32
+PAIRS = 16_384
+#: Shingles of members of a node, or pairs that share one, and bytes of a matrix of members and shingles at a time.
+VALUES = 1_000_000
+MATRIX = 16_000_000
 #: Columns of a member of a node: ``small_in`` has a bit for each tree in which its node is small, ``roots`` 16 bits of each root
 #: token, which make 32 with those of ``tokens``. Nodes of large nodes' members have no tree.
 MEMBER = ["node", "rep", "label", "tokens", "tree", "roots", "small_in"]
 
 
-def word_hashes(data: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit hash of every word of a lower-cased text; ``known`` remembers a bounded number of words."""
-    import xxhash
-
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a lower-cased text."""
     parts, start = [], 0
     while start < len(data):  # slices that end at white space, so a huge text needs no huge list
         end = start + SLICE
         while end < len(data) and data[end] not in b" \t\n\v\f\r":
             end += 1
-        words = data[start:end].split()
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        parts.append(np.array([known[w] for w in words], np.uint64))
+        parts.append(hashes(data[start:end].split()))
         start = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def shingles(text: str, known: dict[bytes, int]) -> np.ndarray:
+def hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def mixed(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` words in a row."""
+    n = len(words) - width + 1
+    out = np.full(n, np.uint64(width))
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(31))) * POWERS[k] + words[k:n + k]
+    out ^= out >> np.uint64(32)
+    return out * POWERS[0]
+
+
+def shingles(text: str) -> np.ndarray:
     """The sorted distinct hashes of the shingles; a text of fewer words is one shingle, one without words has none."""
-    words = word_hashes(text.encode().lower(), known)  # of bytes, lower() changes A-Z only
-    n = len(words)
-    if not n:
+    words = word_hashes(text.encode().lower())  # of bytes, lower() changes A-Z only
+    if not len(words):
         return words
-    width = min(n, SHINGLE)
-    mixed = np.full(n - width + 1, np.uint64(width))
-    for k in range(width):
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * POWERS[k] + words[k:n - width + 1 + k]
-    mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed * POWERS[0])
+    return distinct(mixed(words, min(len(words), SHINGLE)))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """``values``, of which there are some, in their order and once each."""
+    values = np.sort(values)
+    first = np.empty(len(values), bool)
+    first[0] = True
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """``shingles`` of each of ``texts`` (without nulls), those of up to ``SLICE`` bytes together in Arrow."""
+    sizes = pc.binary_length(texts).to_numpy()
+    start, n = 0, len(sizes)
+    while start < n:
+        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:], dtype=np.int64), SLICE, "right")))
+        if sizes[start] > SLICE:
+            yield shingles(texts[start].as_py())
+        else:
+            yield from some_sets(texts.slice(start, end - start))
+        start = end
 
 
-def minwise(values: np.ndarray) -> np.ndarray:
-    """The smallest product with each multiplier."""
+def some_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.flatten().cast(pa.binary()).dictionary_encode()
+    full = pc.binary_length(words.dictionary).to_numpy() > 0  # white space at an end leaves an empty word
+    values = hashes(words.dictionary.to_numpy(zero_copy_only=False))
+    at = words.indices.to_numpy()
+    counts = pc.list_value_length(parts).to_numpy()
+    if not full.all():
+        there = full[at]
+        at, counts = at[there], np.bincount(np.repeat(np.arange(len(counts)), counts)[there], minlength=len(counts))
+    values, ends = values[at], np.cumsum(counts)
+    long = mixed(values, SHINGLE) if len(values) >= SHINGLE else None
+    for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+        if count >= SHINGLE:
+            yield distinct(long[end - count:end - SHINGLE + 1])
+        else:
+            yield mixed(values[end - count:end], count) if count else values[:0]
+
+
+def minwise(values: np.ndarray, products: np.ndarray) -> np.ndarray:
+    """The smallest product with each multiplier; ``products`` has room for those of ``BLOCK`` values."""
     least = np.full(COORDINATES, np.uint64(2**64 - 1))
-    for at in range(0, len(values), 2_048):
-        least = np.minimum(least, (values[at:at + 2_048, None] * MULTIPLIERS).min(axis=0))
+    for at in range(0, len(values), BLOCK):
+        some = values[at:at + BLOCK]
+        least = np.minimum(least, np.multiply(some, MULTIPLIERS[:, None], out=products[:, :len(some)]).min(axis=1))
     return least
 
 
@@ -98,14 +150,13 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[bytes, int] = {}
+        products = np.empty((COORDINATES, BLOCK), np.uint64)
         for batch in batches:
             sizes, keys, roots, tokens = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                values = shingles(text, known)
+            for values in shingle_sets(batch.column("text")):
                 sizes.append(len(values))
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                least = minwise(values)
+                least = minwise(values, products)
                 roots.append(least[:TREES].astype(np.int64, casting="unsafe") if len(values) else None)
                 tokens.append((least ^ (least >> np.uint64(31))).astype("<u2", casting="unsafe").tobytes() if len(values) else None)
             yield pa.record_batch(
@@ -122,9 +173,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingles(t, known).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             fits = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column("key").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("rep").filter(pa.array(fits)), pa.array(sets, pa.binary()).filter(pa.array(fits))], ["rep", "shingles"])
 
@@ -133,17 +183,19 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one node after another, from batches sorted by node."""
+    """Rows of whole nodes, several nodes at a time, from batches sorted by node."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         nodes = batch.column("node").to_numpy()
-        cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(low, high - low)
-            if rest and rest[0].column("node")[0].as_py() != nodes[low]:
-                yield whole(rest)
-                rest = []
-            rest.append(part)
+        last = int(np.searchsorted(nodes, nodes[-1]))  # where the last node starts, which may go on
+        if rest and (last or rest[0].column("node")[0].as_py() != nodes[0]):
+            yield whole([*rest, batch.slice(0, last)])
+            rest = []
+        elif last:
+            yield batch.slice(0, last)
+        rest.append(batch.slice(last))
     if rest:
         yield whole(rest)
 
@@ -153,86 +205,212 @@ def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def token_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), COORDINATES)
-
-
-def close_pairs(node: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different labels in a node that share enough tokens and meet here first, and how many tokens they share."""
-    tokens, labels = token_rows(node.column("tokens")), node.column("label").to_numpy()
-    first, second, shared = [], [], []
-    for i in range(len(tokens) - 1):
-        equal = (tokens[i + 1:] == tokens[i]).sum(axis=1)
-        near = np.flatnonzero((equal >= CHANCE * COORDINATES) & (labels[i + 1:] != labels[i]))
-        if len(near):
-            first.append(np.full(len(near), i))
-            second.append(near + i + 1)
-            shared.append(equal[near])
-    if not first:
-        return (np.zeros(0, int),) * 3
-    a, b, shared = np.concatenate(first), np.concatenate(second), np.concatenate(shared)
-    tree = node.column("tree")[0].as_py()
-    if tree is None:
-        return a, b, shared
-    roots = node.column("roots").flatten().to_numpy().reshape(-1, TREES)
-    together = (tokens[a, :TREES] == tokens[b, :TREES]) & (roots[a] == roots[b])
-    together &= (node.column("small_in").to_numpy()[a, None] >> np.arange(TREES) & 1) == 1
-    here = together.argmax(axis=1) == tree
-    return a[here], b[here], shared[here]
+    return np.frombuffer(b"".join(column.to_numpy(zero_copy_only=False)), "<u2").reshape(len(column), COORDINATES)
+
+
+class Nodes:
+    """Rows of whole nodes: tokens, labels, and what tells whether two members have met in an earlier tree."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.tokens, self.labels = token_rows(rows.column("tokens")), rows.column("label").to_numpy()
+        node = rows.column("node").to_numpy()
+        self.bounds = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+        self.tree = rows.column("tree").fill_null(0).to_numpy()  # none is earlier
+        used = int(self.tree.max())
+        self.roots, self.small = np.zeros((len(node), used), np.uint32), np.zeros((len(node), used), bool)
+        if used:
+            here = np.flatnonzero(rows.column("roots").is_valid().to_numpy(zero_copy_only=False))
+            roots = rows.column("roots").flatten().to_numpy().view(np.uint16).reshape(-1, TREES)[:, :used]
+            self.roots[here] = roots.astype(np.uint32) << np.uint32(16) | self.tokens[here, :used]
+            self.small = (rows.column("small_in").to_numpy()[:, None] >> np.arange(used) & 1) == 1
+
+    def close_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different labels in a node that share enough tokens and meet here first."""
+        found = [*self.in_few()]
+        for low, high in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
+            if high - low > FEW:
+                found += self.in_many(low, high)
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
+
+    def in_few(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of the nodes of at most ``FEW`` members, listed."""
+        sizes = np.diff(self.bounds)
+        later = np.repeat(self.bounds[1:], sizes) - np.arange(self.bounds[-1]) - 1  # members of its node after each row
+        later[np.repeat(sizes > FEW, sizes)] = 0
+        ends = np.cumsum(later)
+        start = 0
+        while start < len(later):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+            n = later[start:end]
+            a = np.repeat(np.arange(start, end), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            other = self.labels[a] != self.labels[b]
+            a, b = a[other], b[other]
+            shared = np.bitwise_count(np.packbits(self.tokens[a] == self.tokens[b], axis=1).view(np.uint64).reshape(-1))
+            near = shared >= CHANCE * COORDINATES
+            a, b = a[near], b[near]
+            met = (self.roots[a] == self.roots[b]) & self.small[a] & (np.arange(self.roots.shape[1]) < self.tree[a, None])
+            first = ~met.any(axis=1)
+            yield a[first], b[first]
+            start = end
+
+    def in_many(self, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of one node, each member beside those after it; the commonest label comes last, as it has none."""
+        _, label, count = np.unique(self.labels[low:high], return_inverse=True, return_counts=True)
+        order = np.lexsort((label, count[label])) + low
+        tree, label = int(self.tree[low]), label[order - low]
+        tokens, roots, small = (np.ascontiguousarray(x.T) for x in (self.tokens[order], self.roots[order, :tree], self.small[order, :tree]))
+        for i in range(len(order) - int(count.max())):
+            shared = (tokens[:, i + 1:] == tokens[:, i:i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            first = (shared >= CHANCE * COORDINATES) & (label[i + 1:] != label[i])
+            if tree and first.any():
+                first &= ~((roots[:, i + 1:] == roots[:, i:i + 1]) & small[:, i:i + 1]).any(axis=0)
+            if len(near := np.flatnonzero(first)):
+                yield np.full(len(near), order[i]), order[near + i + 1]
 
 
 def in_nodes(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work`` applied to the rows of every node; nodes are small, so a partition takes them one by one."""
+    """``work`` applied to the rows of nodes; nodes are small, so a partition takes them a batch at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node in by_node(batches):
-            if node.num_rows > 1:
-                yield from work(node)
+        for nodes in by_node(batches):
+            yield from work(nodes)
 
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
 def promising(members: DataFrame) -> DataFrame:
     """``node``, ``rep`` and ``tree`` of the members that share enough tokens with one of another label."""
-    def work(node: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b, _ = close_pairs(node)
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = Nodes(rows).close_pairs()
         if len(a):
-            take = pa.array(np.unique(np.concatenate([a, b])))
-            yield pa.record_batch([node.column(c).take(take) for c in ("node", "rep", "tree")], ["node", "rep", "tree"])
+            there = np.zeros(rows.num_rows, bool)
+            there[a] = there[b] = True
+            take = pa.array(np.flatnonzero(there))
+            yield pa.record_batch([rows.column(c).take(take) for c in ("node", "rep", "tree")], ["node", "rep", "tree"])
 
     return in_nodes(members.select(*MEMBER), work, "node long, rep long, tree int")
 
 
 def linked(members: DataFrame) -> DataFrame:
-    """Pairs of labels that links between their texts join, confirmed on the full sets: each label and the smallest one it reaches in a node."""
-    def work(node: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        labels = node.column("label").to_numpy()
-        a, b, shared = close_pairs(node)
+    """Pairs of labels that links between their texts join, confirmed on the full sets: each label and the smallest one it reaches in nodes."""
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nodes = Nodes(rows)
+        a, b = nodes.close_pairs()
         if not len(a):
             return
-        sets = [np.frombuffer(s, "<u8") for s in node.column("shingles").to_pylist()]
-        parent = {int(x): int(x) for x in set(labels.tolist())}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for k in np.argsort(-shared, kind="stable").tolist():
-            i, j = int(a[k]), int(b[k])
-            x, y = root(int(labels[i])), root(int(labels[j]))
-            if x != y and similar(sets[i], sets[j]):
-                parent[max(x, y)] = min(x, y)
-        found = [(x, root(x)) for x in parent if root(x) != x]
-        if found:
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        at = np.searchsorted(nodes.bounds, a, "right")
+        order = np.argsort(at, kind="stable")
+        a, b, cuts = a[order], b[order], np.flatnonzero(np.diff(at[order])) + 1
+        column, found = rows.column("shingles"), []
+        for x, y in zip(np.split(a, cuts), np.split(b, cuts), strict=True):
+            used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            sets = [np.frombuffer(s, "<u8") for s in column.take(pa.array(used)).to_numpy(zero_copy_only=False)]
+            good = links(sets, place[:len(x)], place[len(x):], nodes.labels[used])
+            found.append((nodes.labels[x[good]], nodes.labels[y[good]]))
+        x, y = smallest(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+        if len(x):
+            yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
 
     return in_nodes(members.select(*MEMBER, "shingles"), work, "a long, b long")
 
 
+def links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``a``, ``b`` of ``sets`` are links; of a few pairs those that join labels, whose links join as many as all do."""
+    if len(a) > 3 * len(sets):
+        return all_links(sets, a, b)
+    good = np.zeros(len(a), bool)
+    parent = {int(x): int(x) for x in labels.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y and similar(sets[i], sets[j]):
+            parent[max(x, y)] = min(x, y)
+            good[k] = True
+    return good
+
+
+def all_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``a``, ``b`` of ``sets`` are links, by the exact size of every intersection.
+
+    The sets are taken in ranges of hashes, so that no copy of a node as a whole is needed.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ranges = -(-int(sizes.sum()) // VALUES)
+    cuts = [np.searchsorted(s, np.linspace(0, 2.0**64, ranges + 1)[1:-1].astype(np.uint64)).tolist() for s in sets]
+    common = np.zeros((len(sets), len(sets)), np.int32)
+    for low, high in zip([[0] * len(sets), *zip(*cuts, strict=True)], [*zip(*cuts, strict=True), sizes.tolist()], strict=True):
+        count_common([s[x:y] for s, x, y in zip(sets, low, high, strict=True)], common)
+    both = common[np.minimum(a, b), np.maximum(a, b)].astype(np.int64)
+    return 100 * both >= PERCENT * (sizes[a] + sizes[b] - both)
+
+
+def count_common(sets: list[np.ndarray], common: np.ndarray) -> None:
+    """Adds to ``common`` how many values each set shares with each later one.
+
+    Values of many sets are bits of a matrix, whose rows are intersected word by word; of the others, the pairs of sets
+    that hold one are counted.
+    """
+    n = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    bounds = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    holders, starts = np.diff(bounds), bounds[:-1]
+    few = max(1, n // 16)
+    many = np.flatnonzero(holders > few)
+    step = max(64, MATRIX // n // 64 * 64)
+    for low in range(0, len(many), step):
+        part = many[low:low + step]
+        held = holders[part]
+        at = np.repeat(starts[part] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        bits = np.zeros((n, -(-len(part) // 64) * 64), bool)
+        bits[owner[at], np.repeat(np.arange(len(part)), held)] = True
+        words = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+        for i in range(n - 1):
+            common[i, i + 1:] += np.bitwise_count(words[:, i + 1:] & words[:, i:i + 1]).sum(axis=0, dtype=np.int32)
+    pairs: list[np.ndarray] = []
+    for held in np.unique(holders[(holders > 1) & (holders <= few)]).tolist():
+        x, y = np.triu_indices(held, 1)  # the owners of a value are in their order
+        own, step = starts[holders == held], max(1, VALUES // len(x))
+        for low in range(0, len(own), step):
+            each = owner[own[low:low + step, None] + np.arange(held)]
+            pairs.append((each[:, x] * n + each[:, y]).ravel())
+            if sum(map(len, pairs)) >= VALUES:
+                common += np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n)
+                pairs = []
+    if pairs:
+        common += np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n)
+
+
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the linked numbers ``a``, ``b`` that reaches a smaller one, and the smallest it reaches."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[:len(a)], place[len(a):]
+    root = np.arange(len(names))
+    while len(x):
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    moved = root != np.arange(len(names))
+    return names[moved], names[root[moved]]
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < PERCENT * large:
         return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.concatenate([a, b])
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
